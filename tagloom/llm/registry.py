@@ -1,6 +1,9 @@
 """Queries of the training-data operators and the SQL they are held against."""
 
-from . import voronoi_knn
+from . import simhash_golay, voronoi_knn
 
-QUERIES = {"op1_voronoi_knn": voronoi_knn.knn_query}
+QUERIES = {
+    "op1_voronoi_knn": voronoi_knn.knn_query,
+    "op3_simhash_golay": simhash_golay.simhash_query,
+}
 ORACLES = {"op1_voronoi_knn": voronoi_knn.KNN_SQL}
