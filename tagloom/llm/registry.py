@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL they are held against."""
 
-from . import simhash_golay, voronoi_knn
+from . import language_id, simhash_golay, voronoi_knn
 
 QUERIES = {
     "op1_voronoi_knn": voronoi_knn.knn_query,
     "op3_simhash_golay": simhash_golay.simhash_query,
+    "op10_language_id": language_id.language_query,
 }
 ORACLES = {"op1_voronoi_knn": voronoi_knn.KNN_SQL}
