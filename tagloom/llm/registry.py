@@ -1,11 +1,15 @@
 """Queries of the training-data operators and the SQL they are held against."""
 
-from . import language_id, simhash_golay, toxicity, voronoi_knn
+from . import host_reputation, language_id, simhash_golay, toxicity, voronoi_knn
 
 QUERIES = {
     "op1_voronoi_knn": voronoi_knn.knn_query,
     "op3_simhash_golay": simhash_golay.simhash_query,
+    "op5_host_reputation": host_reputation.url_query,
     "op9_toxicity": toxicity.toxicity_query,
     "op10_language_id": language_id.language_query,
 }
-ORACLES = {"op1_voronoi_knn": voronoi_knn.KNN_SQL}
+ORACLES = {
+    "op1_voronoi_knn": voronoi_knn.KNN_SQL,
+    "op5_host_reputation": host_reputation.URL_SQL,
+}
