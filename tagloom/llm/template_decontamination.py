@@ -31,7 +31,7 @@ NAME = "\u0002"
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens of a text. A capitalised word within a sentence starts with NAME; figures joined by . , : / are one token."""
-    marked = F.regexp_replace(F.translate(text, NAME, " "), r"(?<=[\p{Ll},;] )(?=\p{Lu})", NAME)
+    marked = F.regexp_replace(F.translate(text, NAME, " "), r"(?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", NAME)
     blank = r"[^\p{L}\p{N}" + NAME + "]"
     return F.filter(F.split(F.lower(marked), rf"(?<![0-9]){blank}+|{blank}+(?![0-9])"), lambda t: t != "")
 
