@@ -1,10 +1,11 @@
 """Queries of the training-data operators and the SQL they are held against."""
 
-from . import host_reputation, language_id, simhash_golay, source_mixing, template_decontamination, toxicity, voronoi_knn
+from . import host_reputation, language_id, pii_sanitisation, simhash_golay, source_mixing, template_decontamination, toxicity, voronoi_knn
 
 QUERIES = {
     "op1_voronoi_knn": voronoi_knn.knn_query,
     "op3_simhash_golay": simhash_golay.simhash_query,
+    "op4_pii_sanitisation": pii_sanitisation.pii_query,
     "op5_host_reputation": host_reputation.url_query,
     "op7_template_decontamination": template_decontamination.decontamination_query,
     "op8_source_mixing": source_mixing.mixing_query,
@@ -13,5 +14,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_voronoi_knn": voronoi_knn.KNN_SQL,
+    "op4_pii_sanitisation": pii_sanitisation.pii_query,
     "op5_host_reputation": host_reputation.URL_SQL,
 }
