@@ -1,9 +1,10 @@
 """Queries of the training-data operators and the SQL they are held against."""
 
-from . import host_reputation, language_id, pii_sanitisation, simhash_golay, source_mixing, template_decontamination, toxicity, voronoi_knn
+from . import host_reputation, language_id, pii_sanitisation, simhash_golay, source_mixing, suffix_dedup, template_decontamination, toxicity, voronoi_knn
 
 QUERIES = {
     "op1_voronoi_knn": voronoi_knn.knn_query,
+    "op2_suffix_dedup": suffix_dedup.suffix_query,
     "op3_simhash_golay": simhash_golay.simhash_query,
     "op4_pii_sanitisation": pii_sanitisation.pii_query,
     "op5_host_reputation": host_reputation.url_query,
