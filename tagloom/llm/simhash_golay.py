@@ -169,6 +169,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, size: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of docs (doc_id, text), one of each group: that of the smallest id. Of rows with one id one stays; rows with a null id stay unless their group has an id."""
+    groups = materialise(simhash_groups(docs, size=size), "groups")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(kept, "kept")
+    n, repeats = kept.agg(F.count(F.lit(1)), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n")))).first()
+    ids = kept.select(F.col("doc_id").alias("_id"))
+    out = docs.join(F.broadcast(ids) if n <= broadcast_rows else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if repeats and repeats > 1:
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(out.where("doc_id is null"))
+    return out
+
+
 def simhash_query(spark, sf_dir: str) -> DataFrame:
     """op3: near-duplicate components of all documents."""
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import remainder, ship
 from .wordscores import Lookup, WordScores, chunks, mixed, padded, prefix_hashes
@@ -197,19 +198,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 3000
 
 
 def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """docs with score and predicted added; docs has a column text, null counting as empty."""
+    """docs with score and predicted added, in place of columns of these names; docs has a column text, null counting as empty."""
     state: dict[str, WordScores] = {}
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = state.setdefault("scorer", model.models.scorer()) if model.models else None
         for b in batches:
             score = model.score(_texts(b.column("text")), scorer)
-            kept = [b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    fields = [*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return docs.select(*names).mapInArrow(run, T.StructType(fields))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train: Column | None = None, **limits: int) -> DataFrame:
+    """Rows of docs that score below the threshold, unchanged. train: which labelled rows to learn from, all by default."""
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), F.lit(True) if train is None else train, **limits)
+    scored = predict(docs.withColumns({f"_{i}": F.col(c) for i, c in enumerate(docs.columns)}).select(*(f"_{i}" for i in range(len(docs.columns))), "text"), model, threshold)
+    return scored.where("predicted = 0").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7, **limits: int) -> DataFrame:
@@ -222,7 +229,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
     held = remainder(F.col("doc_id"), folds) == fold
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = fit(slim, labels.select("doc_id", "toxic"), ~held, **limits)
-    return predict(slim.select("doc_id", held.alias("held_out"), "text"), model, threshold)
+    return predict(slim.select("doc_id", held.alias("held_out"), "text"), model, threshold).drop("text")
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
