@@ -54,7 +54,7 @@ class RowQuery:
         if formula := sole_formula(self.value):
             other = compile_formula(formula, frame.cells)
             return _any(self._against(c, other) for c in cells)
-        return _any(self._literal(frame, c) for c in cells)
+        return _any(self.test_cell(frame, c) for c in cells)
 
     @property
     def _dated(self) -> bool:
@@ -67,7 +67,8 @@ class RowQuery:
         test = {"empty": lambda c: nz.is_empty(c.column, c.type), "number": lambda c: nz.is_number(c.column, c.type), "date": _is_date}[name]
         return [_flip(test(c), negated) for c in cells]
 
-    def _literal(self, frame, cell: Value) -> Column:
+    def test_cell(self, frame, cell: Value) -> Column:
+        """One cell against the query's literal value."""
         c, t = cell.column, cell.type
         day = parse_date(self.value) if self._dated else None
         if "~" in self.op:
