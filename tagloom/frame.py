@@ -129,6 +129,10 @@ class TagFrame:
     def texts(self) -> list[Column]:
         return [nz.as_text(c.column, c.type) for c in map(self.cell, range(len(self.columns)))]
 
+    def collect(self) -> list[list[str]]:
+        """Rows of a small frame in order as lists of text, fetched at once."""
+        return [list(r) for r in self.ordered().select(*(t.alias(f"c{i}") for i, t in enumerate(self.texts()))).collect()]
+
     def rows(self) -> Iterable[list[str]]:
         """Rows in order as lists of text, fetched partition by partition."""
         df = self.ordered().select(*(t.alias(f"c{i}") for i, t in enumerate(self.texts())))
@@ -204,7 +208,7 @@ class TagFrame:
         return cells.clean(self, **options)
 
     def replace_data(self, original, replacement, pattern=None, use_regex: bool = False, queries=None) -> TagFrame:
-        return cells.replace_cells(self, [cells.Replacement(original, replacement, pattern, use_regex)], queries)
+        return cells.replace_cells(self, [cells.Replacement(original, replacement or "", pattern, use_regex)], queries)
 
     def replace_data_map(self, source, queries=None) -> TagFrame:
         return cells.replace_map(self, source, queries)

@@ -16,7 +16,7 @@ from ..functions import normalize as nz
 from ..functions.dates import norm_date
 from ..functions.formulas import TEXT
 from ..functions.geo import clean_place
-from ..functions.json_path import evaluate, is_simple
+from ..functions.json_path import evaluate, is_simple, steps
 from ..plans.patterns import TagPattern
 from ..plans.predicates import any_query, surely
 
@@ -202,6 +202,7 @@ def flatten(value: object, use_json: bool = True, separator: str = " | ") -> str
 
 def jsonpath(frame: TagFrame, path: str, patterns, queries, use_json: bool, native: bool) -> TagFrame:
     """What a JSONPath finds in each cell; cells that are no JSON stay. native: keep to the JVM, for paths of names and places that find scalars."""
+    steps(path)  # a path that cannot be read fails here, not in a task
     places = frame.places(patterns) if patterns else range(len(frame.columns))
     inside = any_query(frame, queries)
     udf = None if native and is_simple(path) else _json_udf(path, use_json)

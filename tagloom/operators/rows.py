@@ -100,7 +100,8 @@ class RowCounter:
     def over(frame: TagFrame, queries) -> RowCounter:
         observation = Observation()
         counted = F.count_if(surely(any_query(frame, queries)))
-        return RowCounter(frame.with_df(frame.df.observe(observation, counted.alias("rows"))), observation)
+        # Rows are counted behind the sort: finding its ranges reads what is below it twice.
+        return RowCounter(TagFrame(frame.columns, frame.ordered().observe(observation, counted.alias("rows"))), observation)
 
     @property
     def row_count(self) -> int:
