@@ -94,8 +94,17 @@ def term_of(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), EDGES, "")
 
 
-def near_terms(marked: DataFrame, reach: int, support: int) -> DataFrame:
-    """(entity, term, n_both, n_entity) from marked (text, base): different texts with both side by side, and with the entity."""
+def told_share(both: Column, term: Column, entity: Column, texts: int) -> Column:
+    """What a term tells about an entity, as a share of what the entity itself carries, from numbers of texts."""
+    return 1 - F.log(both / term) / F.log(entity / F.lit(float(texts)))
+
+
+def near_terms(marked: DataFrame, texts: int, reach: int, support: int, least: float) -> DataFrame:
+    """(entity, term, n_both, n_entity) from marked (text, base): different texts with both side by side, and with the entity.
+
+    A term is in at least as many texts as it is near some entity in. Pairs that fall below the least share by that
+    bound, as common words do, go at once: nothing that counting all texts could bring would keep them.
+    """
     held = marked.where(F.size("base") > 0).select("text", "base").dropDuplicates(["text"])
     each = held.select("text", F.explode("base").alias("s"))
     span = 24 * reach  # characters that hold `reach` usual words
@@ -105,27 +114,28 @@ def near_terms(marked: DataFrame, reach: int, support: int) -> DataFrame:
     near = F.concat(F.reverse(F.slice(F.reverse(words(before)), 1, reach)), F.slice(words(after), 1, reach))
     value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
     mentions = materialise(each.select(F.xxhash64("text").alias("t"), F.concat_ws(":", "s.kind", value).alias("entity"), near.alias("near")), "mentions")
-    entities = mentions.select("entity", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    pairs = mentions.select("t", "entity", F.explode(F.transform("near", term_of)).alias("term")).where((F.length("term") >= 3) & F.col("term").rlike(r"\p{L}")).distinct()
-    pairs = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    return materialise(pairs.join(entities, "entity"), "entity-terms")
+    entities = mentions.select("entity", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < texts))
+    each = mentions.select("t", "entity", F.explode(F.transform("near", term_of)).alias("term")).where((F.length("term") >= 3) & F.col("term").rlike(r"\p{L}"))
+    pairs = each.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
+    n_near = each.select("t", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    bounded = pairs.join(entities, "entity").join(n_near, "term").where(told_share(F.col("n_both"), F.col("n_near"), F.col("n_entity"), texts) >= least)
+    return materialise(bounded.select("entity", "term", "n_both", "n_entity"), "entity-terms")
 
 
 def disclosing_terms(marked: DataFrame, reach: int = 5, support: int = 4, generalise: float = 0.85, remove: float = 0.95, broadcast_rows: int = 100_000) -> DataFrame:
     """(term, kind): the terms that tell too much about a protected entity of marked (text, base)."""
-    pairs = near_terms(marked, reach, support)
+    texts = marked.select("text").where(F.col("text").isNotNull())
+    n = texts.select(F.xxhash64("text").alias("t")).distinct().count()
+    pairs = near_terms(marked, n, reach, support, generalise)
     candidates = pairs.select("term").distinct()
     if pairs.count() <= broadcast_rows:
         candidates = F.broadcast(candidates)
-    texts = marked.select("text").where(F.col("text").isNotNull())
     words = texts.select(F.explode(F.array_distinct(F.split("text", BLANK))).alias("w"), F.xxhash64("text").alias("t"))
     # Different texts that hold a candidate: few rows are left after the join, so telling copies apart is cheap.
     held = words.select(term_of(F.col("w")).alias("term"), "t").join(candidates, "term", "left_semi").distinct()
     n_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    every = F.broadcast(texts.select(F.xxhash64("text").alias("t")).distinct().agg(F.count(F.lit(1)).cast("double").alias("n")))
-    told = pairs.join(n_term, "term").join(every)
-    share = 1 - F.log(F.col("n_both") / F.col("n_term")) / F.log(F.col("n_entity") / F.col("n"))
-    told = told.where(F.col("n_entity") < F.col("n")).groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
+    told = pairs.join(n_term, "term").select("term", told_share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n).alias("share"))
+    told = told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
     return materialise(told.select("term", F.when(F.col("share") >= remove, REMOVED).otherwise(GENERALISED).alias("kind")), "disclosing")
 
 
