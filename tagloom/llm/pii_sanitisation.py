@@ -155,7 +155,9 @@ def find_pii(docs: DataFrame, broadcast_rows: int = 100_000, **options) -> DataF
     words = texts.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.split("text", BLANK))).alias("w"))
     found = words.select("t", "w", term_of(F.col("w")).alias("term")).join(F.broadcast(terms) if n <= broadcast_rows else terms, "term")
     found = found.select("t", "term", "kind").distinct().groupBy("t").agg(F.sort_array(F.collect_list(F.struct("term", "kind"))).alias("terms"))
-    marked = marked.withColumn("_t", F.xxhash64("text")).join(found.withColumnRenamed("t", "_found"), F.col("_t") == F.col("_found"), "left")
+    found = materialise(found.withColumnRenamed("t", "_found"), "term-texts")
+    found = F.broadcast(found) if found.count() <= broadcast_rows else found
+    marked = marked.withColumn("_t", F.xxhash64("text")).join(found, F.col("_t") == F.col("_found"), "left")
     return marked.withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", _term_spans()))).drop("_t", "_found", "terms")
 
 
