@@ -170,7 +170,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(docs: DataFrame, size: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of docs (doc_id, text), one of each group: that of the smallest id. Of rows with one id one stays; rows with a null id stay unless their group has an id."""
+    """Rows of docs (doc_id, text), one of each group: that of the smallest id. Of rows with one id one stays. Rows with a null id cannot be told apart: they stay if any of them is in a group without an id."""
     groups = materialise(simhash_groups(docs, size=size), "groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = materialise(kept, "kept")
