@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .errors import TagsNotFoundError
 from .functions import normalize as nz
-from .functions.formulas import Value, compile_formula
+from .functions.formulas import Value, compile_formula, first_value
 from .plans.patterns import TagColumn, TagPattern, find_any, tags_of
 
 _serial = itertools.count()
@@ -91,6 +91,27 @@ class TagFrame:
     def places(self, patterns) -> list[int]:
         return find_any(TagPattern.parse_list(patterns), self.columns)
 
+    def get(self, pattern, index: int | None = None, default: object = None) -> Column:
+        """First cell, of those that a pattern matches, that is not the empty string; or the index-th of them."""
+        found = self.cells(pattern)
+        if index is not None:
+            found = found[index : index + 1]
+        if not found:
+            return F.lit(default)
+        value = nz.truthy(first_value(found).column, first_value(found).type) if index is None else found[0].column
+        return value if default is None else F.coalesce(value, F.lit(default))
+
+    def get_all(self, pattern) -> Column:
+        """All cells that a pattern matches, as an array of text."""
+        found = [c.text() for c in self.cells(pattern)]
+        return F.array(*found) if found else F.array().cast("array<string>")
+
+    def dictionary(self) -> Column:
+        """The row as a map from tagspecs, attributes sorted, to text; of equal tagspecs the first counts."""
+        names = [c.sorted_tag for c in self.columns]
+        first = [i for i, n in enumerate(names) if n and names.index(n) == i]
+        return F.create_map(*(x for i in first for x in (F.lit(names[i]), self.cell(i).text())))
+
     def formula(self, formula: str) -> Column:
         """A formula over this frame's rows as a column of its own type."""
         return compile_formula(formula, self.cells).column
@@ -113,6 +134,13 @@ class TagFrame:
         """Any DataFrame function that keeps the physical columns: the way to add operators of one's own."""
         return self.with_df(function(self.df))
 
+    def map_rows(self, function: Callable[[Iterable], Iterable], columns: Sequence[str] | None = None) -> TagFrame:
+        """Any Python over batches of rows as pandas frames with columns c0, c1, ...: for what no expression can say. columns gives new tagspecs, whose cells are text; by default cells keep their types."""
+        made = [TagColumn.parse(c) for c in columns] if columns else list(self.columns)
+        cells = self.df.select(*(f"c{i}" for i in range(len(self.columns))))
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(made))]) if columns else cells.schema
+        return TagFrame(tuple(made), cells.mapInPandas(function, schema))
+
     def order_columns(self) -> list[Column]:
         return [F.col(n).asc_nulls_first() if up else F.col(n).desc_nulls_last() for n, up in self.order]
 

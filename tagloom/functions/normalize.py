@@ -73,6 +73,16 @@ def is_empty(c: Column, t: T.DataType) -> Column:
     return (F.coalesce(c.cast("string"), F.lit("")).rlike(r"(?U)^\s*$")) if is_text(t) else c.isNull()
 
 
+def is_truthy(c: Column, t: T.DataType) -> Column:
+    """Whether the cell says yes: y, yes, t, true or 1."""
+    return F.lower(F.trim(as_text(c, t))).isin("y", "yes", "t", "true", "1")
+
+
+def is_token(c: Column, t: T.DataType) -> Column:
+    """Whether the cell is one word that could be a tag."""
+    return as_text(c, t).rlike(r"^\s*[A-Za-z][_0-9A-Za-z]*\s*$")
+
+
 def truthy(c: Column, t: T.DataType) -> Column:
     """The cell, or null where it is the empty string."""
     return F.nullif(c.cast("string"), F.lit("")) if is_text(t) else c

@@ -487,6 +487,14 @@ class Validation:
         """Whether there is no issue of any severity."""
         return self.issues.isEmpty()
 
+    def for_each(self, callback) -> bool:
+        """Hand every issue, as a row, to a function on the driver; whether there was none."""
+        valid = True
+        for issue in self.issues.toLocalIterator():
+            valid = False
+            callback(issue)
+        return valid
+
     def has_errors(self) -> bool:
         return not self.issues.where("severity = 'error'").isEmpty()
 

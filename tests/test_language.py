@@ -156,3 +156,24 @@ def test_native_types_reach_the_scan(spark, tmp_path):
     days = f.with_rows("#date = 1970-01-05")
     assert "GreaterThanOrEqual(t" in days.df._jdf.queryExecution().executedPlan().toString() and days.df.count() == 1
     assert f.fill_data().df.count() == 100 and f.dedup("#value").df.count() == 100
+
+
+def test_row_accessors(make_row):
+    f = make_row([["#a+x+w", "#a", "#b", "#a+w+x"], ["", "2", "yes", "4"]])
+    got = f.df.select(f.get("#a"), f.get("#a", 0), f.get("#a", 1), f.get("#z", default="none"), f.get_all("#a"), f.dictionary(), f.get("#a", 7)).first()
+    assert list(got) == ["2", "", "2", "none", ["", "2", "4"], {"#a+w+x": "", "#a": "2", "#b": "yes"}, None]
+    text = T.StringType()
+    assert list(f.df.select(nz.is_truthy(F.col("c2"), text), nz.is_truthy(F.col("c1"), text), nz.is_token(F.col("c2"), text), nz.is_token(F.col("c1"), text)).first()) == [True, False, True, False]
+
+
+def test_own_python(make_row):
+    f = make_row([["#a", "#b"], ["1", "x"], ["2", "y"]])
+    double = lambda batches: (b.assign(c0=b["c0"] * 2) for b in batches)
+    assert f.map_rows(double).collect() == [["11", "x"], ["22", "y"]]
+    assert f.map_rows(lambda batches: (b[["c1"]].rename(columns={"c1": "c0"}) for b in batches), ["Only#b+only"]).display_tags == ["#b+only"]
+    assert f.transform(lambda df: df.where("c0 = '2'")).collect() == [["2", "y"]]
+
+
+@pytest.fixture(scope="module")
+def make_row(spark):
+    return lambda rows: TagFrame.from_rows(spark, rows)

@@ -91,6 +91,8 @@ def test_schema(make):
     assert report["stats"] == {"info": 0, "warning": 2, "error": 3, "external": 0, "total": 5}  # one place a rule, however many of its tests fail
     by = {i["tag_pattern"]: i for i in report["issues"]}
     assert by["#targeted"]["description"] == "Wrong target" and {"row": 0, "col": 1, "hashtag": "#targeted", "location_value": "x"} in by["#targeted"]["locations"]
+    seen = []
+    assert not result.for_each(seen.append) and len(seen) == 6
     with pytest.raises(SchemaError):
         v.Schema.parse([["#valid_tag", "#valid_required"], ["#x", "perhaps"]])
 
