@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, as translate() arguments.
@@ -59,5 +59,17 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def least_hashes(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """Rows of df (group, key) with the n least hashes of key in each group: a bounded sample that depends on keys alone.
+
+    Hashes beyond twice the expected limit go before the window, so that no task sees more than about 2 n rows of a group.
+    """
+    fraction = F.shiftrightunsigned(F.xxhash64(key), 1) / float(1 << 63)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(group, "_g")
+    near = df.join(sizes, F.col(group) == F.col("_g")).where(fraction * F.col("_n") <= 2 * n)
+    order = Window.partitionBy(group).orderBy(fraction, key)
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, ship
+from .common import least_hashes, remainder, ship
 from .wordscores import Lookup, WordScores, chunks, hash_of, padded, prefix_hashes, substring_hash
 
 ship(__name__)
@@ -144,19 +144,19 @@ def fit(langs: list[str], words: list[bytes], counts: np.ndarray, pieces: list[b
 def fit_on_sample(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, per_lang: int = 400, most_words: int = 120_000) -> LanguageModel | None:
     """Model from documents (doc_id, text, lang) for which train holds; None if none has a language and a text."""
     usable = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("doc_id").distinct()
+    chosen = least_hashes(usable.select("doc_id", "lang"), "lang", "doc_id", per_lang).select("doc_id").distinct()
     sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi")  # per_lang ids for each language
     # Distinct words of a document count once, so that one long or repetitive text does not set the model.
     found = sample.select("lang", F.explode(F.array_distinct(F.split("text", r"[\x20\x09-\x0D]+"))).alias("w")).where("w <> ''")
-    rows = found.groupBy("lang", "w").count().orderBy(F.desc("count"), "lang", "w").limit(most_words).collect()
-    if not rows:
+    rows = found.groupBy("lang", "w").count().orderBy(F.desc("count"), F.xxhash64("lang", "w")).limit(most_words).toArrow()
+    if not rows.num_rows:
         return None
-    langs = sorted({r.lang for r in rows})
+    langs = sorted(set(rows["lang"].to_pylist()))
+    place = {lang: i for i, lang in enumerate(langs)}
     parts: dict[bytes, np.ndarray] = {}
-    for r in rows:
-        for p in word_parts(r.w.encode()):
-            parts.setdefault(p, np.zeros(len(langs)))[langs.index(r.lang)] += r["count"]
+    for lang, w, n in zip(rows["lang"].to_pylist(), rows["w"].to_pylist(), rows["count"].to_pylist(), strict=True):
+        for p in word_parts(w.encode()):
+            parts.setdefault(p, np.zeros(len(langs)))[place[lang]] += n
     return fit(langs, list(parts), np.array(list(parts.values())), read_pieces(vocabulary))
 
 
