@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, ship
+from .common import least_hashes, remainder, ship
 from .wordscores import Lookup, WordScores, chunks, mixed, padded, prefix_hashes
 
 ship(__name__)
@@ -30,6 +31,8 @@ ship(__name__)
 WIDTH = 30
 FEATURES = 5
 DISCOUNT = 0.75
+#: Grams longer than this need two documents.
+SINGLES = 3
 #: Added to the length in a context's hash, which keeps it apart from a gram's.
 CONTEXT = 1 << 12
 
@@ -52,16 +55,24 @@ class ClassModels:
         prefix, powers = prefix_hashes(matrix)
         grams: dict[int, tuple[np.ndarray, ...]] = {}
         for n in range(1, order + 1):
-            parts: list[tuple[np.ndarray, ...]] = []
-            for end in range(max(n, 2), matrix.shape[1] + 1):  # the first byte, ^, is context only
-                rows, start = np.flatnonzero(lengths >= end), end - n
-                at = prefix[rows]
-                parts.append((_hash(at, powers, start, end), _hash(at, powers, start, end - 1, CONTEXT), _hash(at, powers, start + 1, end), np.full(len(rows), start == 0), counts[rows]))
-            if not sum(len(x[0]) for x in parts):
+            ends = range(max(n, 2), matrix.shape[1] + 1)  # the first byte, ^, is context only
+            at = [np.flatnonzero(lengths >= end).astype(np.int32) for end in ends]
+            if not sum(map(len, at)):
                 break
-            gram, context, suffix, begins, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
+            gram = np.concatenate([_hash(prefix[rows], powers, end - n, end) for end, rows in zip(ends, at, strict=True)])
+            rows, end = np.concatenate(at), np.repeat(np.array(ends, dtype=np.int16), [len(r) for r in at])
             gram, first, where = np.unique(gram, return_index=True, return_inverse=True)
-            grams[n] = gram, context[first], suffix[first], begins[first], np.column_stack([np.bincount(where, weight[:, c], len(gram)) for c in (0, 1)])
+            count = np.column_stack([np.bincount(where, counts[rows, c], len(gram)) for c in (0, 1)])
+            if n > SINGLES:  # long grams of one document say more about it than about its class
+                some = count.sum(1) >= 2
+                gram, first, count = gram[some], first[some], count[some]
+            rows, start, end = rows[first], end[first].astype(np.int64) - n, end[first].astype(np.int64)
+            # Hashes of the gram without its last byte and without its first.
+            context = mixed(prefix[rows, end - 1] - prefix[rows, start] * powers[n - 1], n - 1 + CONTEXT)
+            suffix = mixed(prefix[rows, end] - prefix[rows, start + 1] * powers[n - 1], n - 1)
+            if not len(gram):
+                break
+            grams[n] = gram, context, suffix, start == 0, count
         tables, lower = [], None
         for n, (gram, context, suffix, begins, count) in grams.items():
             if n + 1 in grams:  # lower orders count in how many contexts a gram continues; a word's start has none before it
@@ -77,9 +88,18 @@ class ClassModels:
             back = np.where(total > 0, freed / np.maximum(total, 1e-9), 1.0)
             below = np.full(count.shape, 1 / 256) if lower is None else lower[1][np.searchsorted(lower[0], suffix)]
             prob = np.where(total[where] > 0, np.maximum(count - DISCOUNT, 0) / np.maximum(total[where], 1e-9), 0) + back[where] * below
-            tables.append((gram, np.log(prob), contexts, np.log(np.maximum(back, 1e-12))))
+            # Only the difference of the classes' logarithms counts from here on.
+            tables.append((gram, np.diff(np.log(prob))[:, 0], contexts, np.diff(np.log(np.maximum(back, 1e-12)))[:, 0]))
             lower = gram, prob
-        self.keys, self.logp, self.backs, self.weights = (np.concatenate(c).astype(kind) for c, kind in zip(zip(*tables, strict=True), (np.uint64, np.float32, np.uint64, np.float32), strict=True))
+        self.keys, self.gains, self.backs, self.falls = (np.concatenate(c).astype(kind) for c, kind in zip(zip(*tables, strict=True), (np.uint64, np.float32, np.uint64, np.float32), strict=True))
+
+    @staticmethod
+    def read(order: int, keys: bytes, gains: bytes, backs: bytes, falls: bytes) -> ClassModels:
+        """Models from the bytes of their tables."""
+        out = ClassModels.__new__(ClassModels)
+        out.order, out.keys, out.backs = order, np.frombuffer(keys, np.uint64), np.frombuffer(backs, np.uint64)
+        out.gains, out.falls = np.frombuffer(gains, np.float32), np.frombuffer(falls, np.float32)
+        return out
 
     def scorer(self) -> WordScores:
         """Two numbers a word: log p(toxic) - log p(ordinary), in total and as the mean over its bytes."""
@@ -97,13 +117,11 @@ class ClassModels:
                     at = prefix[rows]
                     found = grams(_hash(at, powers, start, i + 1))
                     hit = found >= 0
-                    logp = self.logp[found[hit]]
-                    ratio[rows[hit]] += logp[:, 1] - logp[:, 0]
+                    ratio[rows[hit]] += self.gains[found[hit]]
                     rows, at = rows[~hit], at[~hit]
                     context = backs(_hash(at, powers, start, i, CONTEXT))
                     known = context >= 0
-                    weight = self.weights[context[known]]
-                    ratio[rows[known]] += weight[:, 1] - weight[:, 0]
+                    ratio[rows[known]] += self.falls[context[known]]
             return np.column_stack([ratio, ratio / np.maximum(lengths - 1, 1)])
 
         return WordScores(score, 2)
@@ -135,7 +153,7 @@ def evidence(texts: list[bytes], scorer: WordScores) -> np.ndarray:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and weights (bias last) of a ridge logistic regression, by Newton steps."""
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
@@ -148,7 +166,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 class ToxicityModel:
-    def __init__(self, models: ClassModels | None, curve: tuple | None) -> None:
+    """A broadcast of the tables of ClassModels, and the logistic curve; None for either if there is nothing to learn from."""
+
+    def __init__(self, models: Broadcast | None, curve: tuple | None) -> None:
         self.models, self.curve = models, curve
 
     def score(self, texts: list[bytes], scorer: WordScores | None) -> np.ndarray:
@@ -164,11 +184,23 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t.as_py() or b"" for t in column.cast(pa.large_binary())]
 
 
+def _count_grams(order: int):
+    """The models of at most most_words words, made in one task: the driver only gets their tables."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.Table.from_batches(batches, pa.schema([("w", pa.binary()), ("o", pa.int64()), ("t", pa.int64())]))
+        counts = np.column_stack([words[c].to_numpy().astype(np.float64) for c in ("o", "t")])
+        if len(counts) and counts.sum(axis=0).all():
+            m = ClassModels(words["w"].to_pylist(), counts, order)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.keys, m.gains, m.backs, m.falls)], names=["keys", "gains", "backs", "falls"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 3000, most_words: int = 150_000, order: int = 9) -> ToxicityModel:
     """Fit on labelled rows (doc_id, toxic) for which train holds and docs (doc_id, text). A doc_id that several labels name counts as toxic if one says so."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order_by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.withColumn("r", F.row_number().over(order_by)).where(F.col("r") <= per_class).select("doc_id", "toxic", (F.xxhash64("doc_id", F.lit(7)) % 2 != 0).alias("counts"))
+    chosen = least_hashes(named, "toxic", "doc_id", per_class).withColumn("counts", F.xxhash64("doc_id", F.lit(7)) % 2 != 0)
     sample = docs.join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows of two numbers
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,34 +210,36 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 3000
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], names=["w", "toxic"])
 
     found = sample.where("counts").select("text", "toxic").mapInArrow(distinct_words, "w binary, toxic int")
-    words = found.groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).orderBy(F.desc(F.col("o") + F.col("t")), "w").limit(most_words).collect()
-    if not sum(r.t for r in words) or not sum(r.o for r in words):
+    words = found.groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).orderBy(F.desc(F.col("o") + F.col("t")), F.xxhash64("w")).limit(most_words)
+    made = words.coalesce(1).mapInArrow(_count_grams(order), "keys binary, gains binary, backs binary, falls binary").collect()
+    if not made:
         return ToxicityModel(None, None)
-    models = ClassModels([bytes(r.w) for r in words], np.array([(r.o, r.t) for r in words], dtype=float), order)
+    # At most most_words words' grams, sent once for all uses: as plain bytes, which need no code of ours to be read.
+    models = docs.sparkSession.sparkContext.broadcast((order, *map(bytes, made.pop())))
     held = sample.where(~F.col("counts")).select("text", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = models.scorer()
+        scorer = ClassModels.read(*models.value).scorer()
         for b in batches:
             x = evidence(_texts(b.column(0)), scorer)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(FEATURES)), b.column(1)], names=[*(f"x{i}" for i in range(FEATURES)), "toxic"])
 
-    rows = held.mapInArrow(features, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", toxic int").toPandas()
-    y = rows["toxic"].to_numpy(dtype=float)
+    rows = held.mapInArrow(features, ", ".join(f"x{i} double" for i in range(FEATURES)) + ", toxic int").toArrow()
+    y = rows["toxic"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return ToxicityModel(None, None)
-    return ToxicityModel(models, logistic(rows[[f"x{i}" for i in range(FEATURES)]].to_numpy(), y))
+    return ToxicityModel(models, logistic(np.column_stack([rows[f"x{i}"].to_numpy() for i in range(FEATURES)]), y))
 
 
-def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """docs with score and predicted added, in place of columns of these names; docs has a column text, null counting as empty."""
+def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """docs with score and predicted added, in place of columns of these names; a null text counts as empty."""
     state: dict[str, WordScores] = {}
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = state.setdefault("scorer", model.models.scorer()) if model.models else None
+        scorer = (state.get("scorer") or state.setdefault("scorer", ClassModels.read(*model.models.value).scorer())) if model.models else None
         for b in batches:
-            score = model.score(_texts(b.column("text")), scorer)
+            score = model.score(_texts(b.column(text)), scorer)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     fields = [*docs.select(*names).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -215,8 +249,9 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> Da
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train: Column | None = None, **limits: int) -> DataFrame:
     """Rows of docs that score below the threshold, unchanged. train: which labelled rows to learn from, all by default."""
     model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), F.lit(True) if train is None else train, **limits)
-    scored = predict(docs.withColumns({f"_{i}": F.col(c) for i, c in enumerate(docs.columns)}).select(*(f"_{i}" for i in range(len(docs.columns))), "text"), model, threshold)
-    return scored.where("predicted = 0").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    places = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # names that cannot clash
+    scored = predict(docs.select(*(F.col(c).alias(p) for c, p in places.items())), model, threshold, places["text"])
+    return scored.where("predicted = 0").select(*(F.col(p).alias(c) for c, p in places.items()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, threshold: float = 0.7, **limits: int) -> DataFrame:

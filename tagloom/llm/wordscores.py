@@ -90,12 +90,13 @@ class Lookup:
     """Positions of hashes in a fixed set, -1 for others."""
 
     def __init__(self, hashes: np.ndarray) -> None:
-        self.order = np.argsort(hashes, kind="stable")
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
         self.sorted = hashes[self.order]
-        bits = max(8, int(len(hashes)).bit_length() + 2)
+        bits = max(8, int(len(hashes)).bit_length() + 1)
         self.shift = np.uint64(64 - bits)
-        self.first = np.searchsorted(self.sorted >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int64)
-        self.steps = int(np.diff(self.first).max(initial=0))
+        # Where the hashes with each first bits begin, by counting.
+        self.first = np.zeros((1 << bits) + 1, dtype=np.int32)
+        np.cumsum(np.bincount((self.sorted >> self.shift).astype(np.int64), minlength=1 << bits), out=self.first[1:])
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         top = (h >> self.shift).astype(np.int64)
