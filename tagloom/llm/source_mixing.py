@@ -52,20 +52,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
     Values that a target lacks get no weight; targets are rescaled to the values that occur. Ends when no marginal was
     off by more than the tolerance before its turn, or after `rounds`.
     """
-    total = F.broadcast(cells.agg(F.sum("tokens").alias("all")))
-    now = materialise(cells.join(total).withColumn("w", F.col("tokens") / F.col("all")).drop("all"), "cells")
+    now = cells.join(F.broadcast(cells.agg(F.sum("tokens").alias("all")))).withColumn("w", F.col("tokens") / F.col("all")).drop("all")
+    for dim, target in targets.items():
+        goal = target.select(F.col(dim).alias("key"), F.col("target").alias(f"goal_{dim}"))
+        now = now.join(goal, F.col(dim) == F.col("key"), "left").drop("key").fillna(0.0, [f"goal_{dim}"])
+    now = materialise(now.withColumn("off", F.lit(0.0)), "cells")
     for _ in range(rounds):
-        step = now.withColumn("off", F.lit(0.0))
-        for dim, target in targets.items():
-            sums = step.groupBy(dim).agg(F.sum("w").alias("is")).join(target, dim, "left")
-            factor = F.when(F.col("is") > 0, F.coalesce("target", F.lit(0.0)) / F.col("is")).otherwise(0.0)
-            step = step.join(sums.select(F.col(dim).alias("key"), factor.alias("f")), F.col(dim) == F.col("key")).drop("key")
-            step = step.withColumns({"off": F.greatest("off", F.abs(F.col("f") - 1)), "w": F.col("w") * F.col("f")}).drop("f")
-        now = materialise(step, "cells")
-        worst = now.where("w > 0").agg(F.max("off")).first()[0]
-        now = now.drop("off")
-        if worst is None or worst <= tolerance:
+        for k, dim in enumerate(targets):  # a step a table: plans stay small
+            sums = now.groupBy(F.col(dim).alias("key")).agg(F.sum("w").alias("is"))
+            step = now.join(sums, F.col(dim) == F.col("key")).drop("key")
+            step = step.withColumn("f", F.when(F.col("is") > 0, F.col(f"goal_{dim}") / F.col("is")).otherwise(0.0))
+            off = F.when(F.col("w") > 0, F.abs(F.col("f") - 1)).otherwise(0.0)
+            step = step.withColumns({"off": off if k == 0 else F.greatest("off", off), "w": F.col("w") * F.col("f")}).drop("is", "f")
+            now = materialise(step, "cells")
+        if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
+    now = now.drop("off", *(f"goal_{dim}" for dim in targets))
     scale = F.broadcast(now.agg(F.sum("w").alias("sum")))
     return materialise(now.join(scale).withColumn("w", F.when(F.col("sum") > 0, F.col("w") / F.col("sum")).otherwise(0.0)).drop("sum"), "cells")
 
