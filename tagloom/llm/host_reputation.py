@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower
+from .common import LOWER, UPPER, ascii_lower, materialise
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -60,8 +60,8 @@ def _strength(groups: DataFrame, n: str, k: str, parent: str, out: str) -> DataF
 def host_bounds(pages: DataFrame) -> DataFrame:
     """(host, n, mean, bound) for each host of pages (host, outcome): labelled pages, posterior mean and lower bound."""
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"))
-    hosts = hosts.select("host", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix"), "n", "k")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
+    hosts = materialise(hosts.select("host", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix"), "n", "k"), "hosts")
+    domains = materialise(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     every = suffixes.agg(((F.sum("sk") + 1.0) / (F.sum("sn") + 2.0)).alias("p0"))
     # The tables of strengths and of the overall rate have one row each.
@@ -70,7 +70,7 @@ def host_bounds(pages: DataFrame) -> DataFrame:
     suffixes = suffixes.select("suffix", ((F.col("m") * F.col("p0") + F.col("sk")) / (F.col("m") + F.col("sn"))).alias("ps"))
     domains = domains.join(suffixes, "suffix")
     domains = domains.join(F.broadcast(_strength(domains, "dn", "dk", "ps", "m")))
-    domains = domains.select("domain", "suffix", ((F.col("m") * F.col("ps") + F.col("dk")) / (F.col("m") + F.col("dn"))).alias("pd"))
+    domains = materialise(domains.select("domain", "suffix", ((F.col("m") * F.col("ps") + F.col("dk")) / (F.col("m") + F.col("dn"))).alias("pd")), "domains")
     hosts = hosts.join(domains, ["domain", "suffix"])
     hosts = hosts.join(F.broadcast(_strength(hosts, "n", "k", "pd", "m")))
     a, b = F.col("m") * F.col("pd") + F.col("k"), F.col("m") * (1 - F.col("pd")) + F.col("n") - F.col("k")
