@@ -91,10 +91,12 @@ def voronoi_knn_join(queries: DataFrame, data: DataFrame, k: int = 5, n_pivots:
     if not row.n or not nq.n:
         return spark.createDataFrame([], schema)
     dim, top, slices = max(row.dim, nq.dim), row.top, -(-row.n // slice_rows)
-    chosen = data.dropDuplicates(["v"]).orderBy(F.xxhash64("v"), "id").limit(n_pivots).collect()
+    # Pivots are rows of least id hash; a vector that many rows share is one pivot.
+    sample = data.orderBy(F.xxhash64("id"), "id").limit(2 * n_pivots).collect()
+    chosen = list(dict.fromkeys(tuple(r.v) for r in sample))[:n_pivots]
     raw = np.zeros((len(chosen), dim))
-    for i, r in enumerate(chosen):
-        raw[i, : len(r.v)] = r.v
+    for i, v in enumerate(chosen):
+        raw[i, : len(v)] = v
     pivots = _lift(raw, top)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
