@@ -102,13 +102,22 @@ class _Block:
         return [(s, int(a[s]), int(a[s + 1]), int(b[s]), int(b[s + 1])) for s in range(shards) if a[s] < a[s + 1] or b[s] < b[s + 1]]
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers with all first bytes together, then all second bytes and so on: the shuffle's compression finds the zeros."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def _planes(h: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte by byte, so that the shuffle's compression finds the zeros."""
-    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted hashes, as differences."""
+    return _pack(np.diff(h, prepend=np.uint64(0)))
 
 
 def _hashes(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
 QUESTION = "shard int, block int, words binary, word_counts binary, bigrams binary, bigram_counts binary"
@@ -118,7 +127,7 @@ ANSWER = "block int, shard int, words binary, bigrams binary, total long, kinds
 def _ask(shards: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         b = _Block(table)
-        rows = [(s, key[0].as_py(), _planes(b.words[i:j]), b.word_counts[i:j].tobytes(), _planes(b.bigrams[k:m]), b.bigram_counts[k:m].tobytes()) for s, i, j, k, m in b.cuts(shards)]
+        rows = [(s, key[0].as_py(), _planes(b.words[i:j]), _pack(b.word_counts[i:j]), _planes(b.bigrams[k:m]), _pack(b.bigram_counts[k:m])) for s, i, j, k, m in b.cuts(shards)]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         names = [c.split()[0] for c in QUESTION.split(", ")]
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
@@ -130,9 +139,9 @@ def _sums(hashes: list[bytes], counts: list[bytes]) -> tuple[list[bytes], np.nda
     """Totals for each question in its order, and the totals of different entries."""
     each = [_hashes(h) for h in hashes]
     different, where = np.unique(np.concatenate(each), return_inverse=True)
-    totals = np.bincount(where, weights=np.concatenate([np.frombuffer(c, np.int64) for c in counts]), minlength=len(different)).astype(np.int64)
+    totals = np.bincount(where, weights=np.concatenate([_unpack(c) for c in counts]), minlength=len(different)).astype(np.int64)
     ends = np.cumsum([len(h) for h in each])
-    return [totals[part].astype("<i8").tobytes() for part in np.split(where, ends[:-1])], totals
+    return [_pack(totals[part]) for part in np.split(where, ends[:-1])], totals
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
@@ -155,7 +164,7 @@ def _read(shards: int, mu: float):
         slices = {s: (i, j, k, m) for s, i, j, k, m in b.cuts(shards)}
         for s, words, bigrams in zip(*(answers[n].to_pylist() for n in ("shard", "words", "bigrams")), strict=True):
             i, j, k, m = slices[s]
-            c1[i:j], c2[k:m] = np.frombuffer(words, "<i8"), np.frombuffer(bigrams, "<i8")
+            c1[i:j], c2[k:m] = _unpack(words), _unpack(bigrams)
         total, kinds = (answers[n][0].as_py() if answers.num_rows else 0 for n in ("n_all", "v_all"))
         root = np.log10((c1 + 0.5) / (total + 0.5 * (kinds + 1)))
         history = c1.copy()
