@@ -252,10 +252,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+    return F.broadcast(df) if 0 < rows <= most else df.hint("merge")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most: int = 1024, broadcast_rows: int = 400_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, most: int = 1024) -> DataFrame:
     """(k1, k2, spans) for the rows of docs (doc_id, text) that have bytes covered by strings of `length` bytes that start more than once: merged [start, end) in bytes. Keys as _keyed() makes them."""
     if not GRAM < length <= 1023:
         raise ValueError(f"length must be over {GRAM} and at most 1023 bytes")
@@ -266,21 +266,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, most: int = 1024, broadca
     alike = alike.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1 or kinds > 1")
     alike = materialise(alike, "digests")
 
-    # All strings of a segment that occurs more than once repeat.
-    full = found.join(alike.where("n > 1").select(F.col("gram").alias("g"), F.col("digest").alias("d")), (F.col("gram") == F.col("g")) & (F.col("digest") == F.col("d")))
+    # All strings of a segment that occurs more than once repeat. This join and the next shuffle at any size, so what is measured on little data holds for much.
+    full = found.join(alike.where("n > 1").select(F.col("gram").alias("g"), F.col("digest").alias("d")).hint("merge"), (F.col("gram") == F.col("g")) & (F.col("digest") == F.col("d")))
     lo = F.shiftright("place", 20)
     full = full.select("k1", "k2", lo.alias("start"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023)) + length).alias("end"))
 
     # Segments of a gram that has several digests are compared, one of each digest.
     ends = alike.where("kinds > 1").select("k1", "k2", F.struct("gram", "place", (F.col("n") == 1).alias("once"), "kinds").alias("w"))
     wanted = materialise(ends.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
-    rows = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
     # Rows of one key are equal; one of them is enough.
-    fetched = keyed.select("k1", "k2", "text").join(_sized(wanted, rows, broadcast_rows), ["k1", "k2"])
+    fetched = keyed.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"])
     few, many = (F.filter("wanted", lambda w: w["kinds"] <= most), F.filter("wanted", lambda w: w["kinds"] > most))
     shape = "gram long, k1 long, k2 long, place long, once boolean, bytes binary"
     parts = []
-    if rows:
+    if not wanted.isEmpty():
         cut = fetched.withColumn("wanted", few).where(F.size("wanted") > 0).mapInArrow(_cut(length), shape).distinct()
         parts.append(cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, start long, end long"))
     if alike.where(F.col("kinds") > most).limit(1).count():
@@ -313,15 +312,16 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest)], names=[*names, "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, broadcast_rows: int = 400_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, broadcast_rows: int = 0) -> DataFrame:
     """(doc_id, kept binary, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of docs (doc_id, text).
 
     Texts are UTF-8 bytes; a null text is empty; matches never cross rows. kept is what is left, which need not be
     valid UTF-8, as repeats may start within a character. Rows that repeat are each other's copies. A null doc_id keeps
-    its row. Other columns are ignored. An empty table gives an empty one.
+    its row. Other columns are ignored. An empty table gives an empty one. broadcast_rows: up to how many spans may be
+    broadcast instead of shuffling the texts; by default none, so the plan is the same at every size.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(slim, length, most, broadcast_rows)
+    spans = repeated_spans(slim, length, most)
     rows = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
     joined = _keyed(slim).join(_sized(spans, rows, broadcast_rows), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_without, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
