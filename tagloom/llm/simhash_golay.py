@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 from .components import connected_components
+from .shingle_sets import similar_groups
 
 ship(__name__)
 
@@ -169,9 +170,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Rows of docs (doc_id, text), one of each group: that of the smallest id. Of rows with one id one stays. Rows with a null id cannot be told apart: they stay if any of them is in a group without an id."""
-    groups = materialise(simhash_groups(docs, size=size), "groups")
+def keep_one(docs: DataFrame, size: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of docs (doc_id, text), one of each group: that of the smallest id. Of rows with one id one stays. Rows with a null id cannot be told apart: they stay if any of them is in a group without an id.
+
+    Groups are those of similar_groups(): fingerprints lose similar texts at any distance that keys can bridge.
+    """
+    groups = materialise(similar_groups(docs, size), "groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = materialise(kept, "kept")
     n, repeats = kept.agg(F.count(F.lit(1)), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n")))).first()
