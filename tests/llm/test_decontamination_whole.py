@@ -20,6 +20,20 @@ def test_one_odd_slot_does_not_reject(spark):
     assert found(spark, docs, {1: item}) == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_short_and_numeric_items(spark):
+    items = {1: "What is the capital city of France?", 2: "Compute 12 + 7 * 3 - 4 and add 5 to 9 then 8", 3: "17 + 25"}
+    docs = {1: FILLER + items[1] + " " + FILLER, 2: FILLER + items[2], 3: FILLER + "17 + 25 is it", 4: FILLER + "18 + 25 is it", 5: FILLER, 6: "Compute 12 and 7"}
+    assert found(spark, docs, items) == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_edits_and_long_quotes(spark):
+    item = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    inserted = [x for i, w in enumerate(item) for x in ([w, "extra"] if i % 12 == 11 else [w])]
+    changed = ["other" if i % 10 == 9 else w for i, w in enumerate(item)]
+    docs = {1: " ".join(inserted), 2: " ".join(changed), 3: FILLER + " ".join(item[20:34]), 4: FILLER + " ".join(item[20:30])}
+    assert found(spark, docs, {1: " ".join(item)}) == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_copies_in_other_values_nearby_do_not_conflict(spark):
     item = "first box holds 7 red balls and next box holds 8 blue balls while last box holds 9 green balls so add them"
     copies = [item.replace("7", a).replace("8", b).replace("9", c) for a, b, c in (("7", "8", "9"), ("4", "5", "6"), ("1", "2", "3"))]
