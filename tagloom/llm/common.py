@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -23,9 +24,11 @@ ship(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tagloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -49,6 +52,28 @@ def clear_tables(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes up to which a table is broadcast, unless a caller says otherwise.
+BROADCAST = 32 << 20
+
+
+def fits(df: DataFrame, most: int) -> bool:
+    """Whether the rows of a written table have at most `most` bytes: 16 a column, and the lengths of what is not of fixed size."""
+    sizes = []
+    for c in df.schema:
+        kind = c.dataType.typeName()
+        if kind in ("string", "binary"):
+            sizes.append(F.sum(F.octet_length(c.name)))
+        elif kind in ("array", "map", "struct"):
+            sizes.append(F.sum(F.octet_length(F.to_json(F.struct(c.name)))))
+    n, *held = df.agg(F.count(F.lit(1)), *sizes).first()
+    return n * 16 * len(df.columns) + sum(x or 0 for x in held) <= most
+
+
+def within(df: DataFrame, most: int) -> DataFrame:
+    """df for a join: to be broadcast if it fits into `most` bytes, else to be shuffled along with the other side."""
+    return F.broadcast(df) if fits(df, most) else df.hint("merge")
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

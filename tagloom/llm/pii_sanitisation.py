@@ -3,14 +3,16 @@
 Base detection marks e-mail addresses, IP addresses, payment cards and phone numbers. Their values are the protected
 entities. How much a term tells about an entity c is its pointwise mutual information with c, estimated from the corpus:
 the number of different texts in which the term stands within `reach` words of c, of those that hold the term at all.
-As a share of what c itself carries, -log p(c), that is 1 - log p(c | term) / log p(c). Terms seen near c in at least
-`support` different texts are generalised where the share reaches `generalise`, and removed where it reaches `remove`,
-wherever they occur. Copies of a text are one piece of evidence.
+As a share of what c itself carries, -log p(c), that is 1 - log p(c | term) / log p(c). Entities seen once count like any
+other; instead of a least number of sightings the estimates are shrunk: p(c | term) by `prior` texts without c, and a term
+must stand near protected entities in most texts that hold it, which one text alone cannot show. Terms are generalised
+where the share reaches `generalise`, and removed where it reaches `remove`, wherever they occur. Copies of a text are one
+piece of evidence.
 
 Matches are placed without a Python scan: split() and regexp_extract_all() cut a text into gaps and matches, whose
 lengths add up to positions. Every pattern starts where its run starts, so long runs cost no more than short ones.
-Only contexts of entities and counts of different texts are shuffled, with partial sums first. Disclosing terms are
-broadcast only up to `broadcast_rows`; beyond that the same join shuffles both sides.
+Only contexts of entities and counts of texts are shuffled, with partial sums first. Terms are broadcast only up to
+`broadcast_bytes`; beyond that the same join shuffles both sides.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import BROADCAST, fits, materialise, within
 
 #: Kinds in the order of listing, what a text must hold for a match, and the patterns.
 KINDS = ("email", "ip", "card", "phone")
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": "(?:[0-9][ -]?){15}[0-9]", "phone": r"\+[0-9]"}
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
@@ -94,76 +96,92 @@ def term_of(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), EDGES, "")
 
 
-def told_share(both: Column, term: Column, entity: Column, texts: int) -> Column:
-    """What a term tells about an entity, as a share of what the entity itself carries, from numbers of texts."""
-    return 1 - F.log(both / term) / F.log(entity / F.lit(float(texts)))
+def told_share(both: Column, term: Column, entity: Column, texts: Column | int, prior: float) -> Column:
+    """What a term tells about an entity, as a share of what the entity itself carries, from numbers of texts. `prior` texts more are supposed to hold the term without the entity."""
+    return 1 - F.log(both / (term + prior)) / F.log(entity / (texts if isinstance(texts, Column) else F.lit(float(texts))))
 
 
-def near_terms(marked: DataFrame, texts: int, reach: int, support: int, least: float) -> DataFrame:
-    """(entity, term, n_both, n_entity) from marked (text, base): different texts with both side by side, and with the entity.
+def _tied(near: Column, term: Column) -> Column:
+    """Whether a term stands near protected entities in most texts that hold it, by a rate shrunk by one text: a single text proves nothing."""
+    return near * 2 > term + 1
 
-    A term is in at least as many texts as it is near some entity in. Pairs that fall below the least share by that
-    bound, as common words do, go at once: nothing that counting all texts could bring would keep them.
+
+def near_terms(marked: DataFrame, texts: int, reach: int, least: float, prior: float) -> DataFrame:
+    """(entity, term, n_both, n_entity, n_near) from marked (text, base): different texts with both side by side, with the entity, and with the term near any entity.
+
+    A term is in at least as many texts as it is near entities in. Pairs that fall below the least share by that bound,
+    as common words do, go at once: nothing that counting all texts could bring would keep them.
     """
-    held = marked.where(F.size("base") > 0).select("text", "base").dropDuplicates(["text"])
-    each = held.select("text", F.explode("base").alias("s"))
+    each = marked.where(F.size("base") > 0).select("text", F.explode("base").alias("s"))
     span = 24 * reach  # characters that hold `reach` usual words
     begin = F.greatest(F.col("s.start") - span, F.lit(0))
     before, after = F.substr("text", begin + 1, F.col("s.start") - begin), F.substr("text", F.col("s.end") + 1, F.lit(span))
     words = lambda part: F.filter(F.split(part, BLANK), lambda w: w != "")
     near = F.concat(F.reverse(F.slice(F.reverse(words(before)), 1, reach)), F.slice(words(after), 1, reach))
     value = F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))
-    mentions = materialise(each.select(F.xxhash64("text").alias("t"), F.concat_ws(":", "s.kind", value).alias("entity"), near.alias("near")), "mentions")
-    entities = mentions.select("entity", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where((F.col("n_entity") >= support) & (F.col("n_entity") < texts))
+    mentions = materialise(each.select(F.xxhash64("text").alias("t"), F.concat_ws(":", "s.kind", value).alias("entity"), near.alias("near")).distinct(), "mentions")
+    entities = mentions.select("entity", "t").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < texts)
     each = mentions.select("t", "entity", F.explode(F.transform("near", term_of)).alias("term")).where((F.length("term") >= 3) & F.col("term").rlike(r"\p{L}"))
-    pairs = each.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= support)
-    n_near = each.select("t", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    bounded = pairs.join(entities, "entity").join(n_near, "term").where(told_share(F.col("n_both"), F.col("n_near"), F.col("n_entity"), texts) >= least)
-    return materialise(bounded.select("entity", "term", "n_both", "n_entity"), "entity-terms")
+    each = materialise(each.distinct(), "near-words")
+    n_near = each.select("t", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).where(_tied(F.col("n_near"), F.col("n_near")))
+    pairs = each.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    bounded = pairs.join(n_near, "term").join(entities, "entity").where(told_share(F.col("n_both"), F.col("n_near"), F.col("n_entity"), texts, prior) >= least)
+    return materialise(bounded.select("entity", "term", "n_both", "n_entity", "n_near"), "entity-terms")
+
 
+def text_counts(texts: DataFrame, terms: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """(term, n_term): number of different texts that hold each of the terms. Copies share one text's weight, so counts are combined before the shuffle."""
+    copies = materialise(texts.groupBy(F.xxhash64("text").alias("c")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    weighed = texts.withColumn("t", F.xxhash64("text")).join(within(copies, broadcast_bytes), F.col("t") == F.col("c"), "left")
+    words = weighed.select((1 / F.coalesce("n", F.lit(1))).alias("w"), F.explode(F.array_distinct(F.transform(F.array_distinct(F.split("text", BLANK)), term_of))).alias("held"))
+    if fits(terms, broadcast_bytes):
+        words = words.join(F.broadcast(terms), F.col("held") == F.col("term"), "left_semi")
+    counts = words.groupBy("held").agg(F.round(F.sum("w")).alias("n_term"))
+    return counts.join(terms, F.col("held") == F.col("term")).select("term", "n_term")
 
-def disclosing_terms(marked: DataFrame, reach: int = 5, support: int = 4, generalise: float = 0.85, remove: float = 0.95, broadcast_rows: int = 100_000) -> DataFrame:
+
+def disclosing_terms(marked: DataFrame, reach: int = 5, prior: float = 0.25, generalise: float = 0.85, remove: float = 0.95, broadcast_bytes: int = BROADCAST) -> DataFrame:
     """(term, kind): the terms that tell too much about a protected entity of marked (text, base)."""
     texts = marked.select("text").where(F.col("text").isNotNull())
     n = texts.select(F.xxhash64("text").alias("t")).distinct().count()
-    pairs = near_terms(marked, n, reach, support, generalise)
-    candidates = pairs.select("term").distinct()
-    if pairs.count() <= broadcast_rows:
-        candidates = F.broadcast(candidates)
-    words = texts.select(F.explode(F.array_distinct(F.split("text", BLANK))).alias("w"), F.xxhash64("text").alias("t"))
-    # Different texts that hold a candidate: few rows are left after the join, so telling copies apart is cheap.
-    held = words.select(term_of(F.col("w")).alias("term"), "t").join(candidates, "term", "left_semi").distinct()
-    n_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    told = pairs.join(n_term, "term").select("term", told_share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n).alias("share"))
+    pairs = near_terms(marked, n, reach, generalise, prior)
+    candidates = materialise(pairs.select("term").distinct(), "candidates")
+    counted = pairs.join(text_counts(texts, candidates, broadcast_bytes), "term").where(_tied(F.col("n_near"), F.col("n_term")))
+    told = counted.select("term", told_share(F.col("n_both"), F.col("n_term"), F.col("n_entity"), n, prior).alias("share"))
     told = told.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise)
     return materialise(told.select("term", F.when(F.col("share") >= remove, REMOVED).otherwise(GENERALISED).alias("kind")), "disclosing")
 
 
-def find_pii(docs: DataFrame, broadcast_rows: int = 100_000, **options) -> DataFrame:
+def _marked(texts: DataFrame, broadcast_bytes: int = BROADCAST, **options) -> DataFrame:
+    """texts (text and columns of names of the caller's) with base and spans added; its names must not clash with those used here."""
+    marked = texts.withColumn("base", F.concat(*(base_spans(F.coalesce(F.col("text"), F.lit("")), k) for k in KINDS)))
+    terms = disclosing_terms(marked.select("text", "base"), broadcast_bytes=broadcast_bytes, **options)
+    if terms.isEmpty():
+        return marked.withColumn("spans", F.col("base"))
+    # Texts that hold a disclosing term, by hash; copies are one row, so a text meets its terms once.
+    words = texts.select("text").where(F.col("text").isNotNull()).select(F.xxhash64("text").alias("found"), F.explode(F.array_distinct(F.split("text", BLANK))).alias("w"))
+    found = words.select("found", term_of(F.col("w")).alias("term")).join(within(terms, broadcast_bytes), "term").distinct()
+    found = found.groupBy("found").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "kind")))).alias("known"))
+    found = within(materialise(found, "term-texts"), broadcast_bytes)
+    marked = marked.withColumn("t", F.xxhash64("text")).join(found, F.col("t") == F.col("found"), "left")
+    return marked.withColumn("spans", F.when(F.col("known").isNull(), F.col("base")).otherwise(F.concat("base", _term_spans()))).drop("t", "found", "known")
+
+
+def find_pii(docs: DataFrame, **options) -> DataFrame:
     """docs (text) with two columns added: base, array<struct(kind, start, end, value)> of valid base matches by kind and start, and spans, base and then the method's terms by start.
 
-    A null text counts as empty and has no spans. Repeated rows are marked alike; copies of a text are one piece of
-    evidence; columns that are called base or spans are replaced; others stay; an empty table gives an empty one.
+    A null text counts as empty and has no spans; texts of any length are searched whole. Repeated rows are marked
+    alike; copies of a text are one piece of evidence; ties need no rule, as every term that exceeds a threshold counts.
+    Columns that are called base or spans are replaced; others stay, whatever their names; an empty table gives an empty one.
     """
-    marked = docs.withColumn("base", F.concat(*(base_spans(F.coalesce(F.col("text"), F.lit("")), k) for k in KINDS)))
-    terms = disclosing_terms(marked.select("text", "base"), broadcast_rows=broadcast_rows, **options)
-    n = terms.count()
-    if not n:
-        return marked.withColumn("spans", F.col("base"))
-    # Texts that hold a disclosing term, by hash; copies are one row, so a text meets its terms once.
-    texts = docs.select("text").where(F.col("text").isNotNull())
-    words = texts.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(F.split("text", BLANK))).alias("w"))
-    found = words.select("t", "w", term_of(F.col("w")).alias("term")).join(F.broadcast(terms) if n <= broadcast_rows else terms, "term")
-    found = found.select("t", "term", "kind").distinct().groupBy("t").agg(F.sort_array(F.collect_list(F.struct("term", "kind"))).alias("terms"))
-    found = materialise(found.withColumnRenamed("t", "_found"), "term-texts")
-    found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    marked = marked.withColumn("_t", F.xxhash64("text")).join(found, F.col("_t") == F.col("_found"), "left")
-    return marked.withColumn("spans", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", _term_spans()))).drop("_t", "_found", "terms")
+    kept = [c for c in docs.columns if c not in ("base", "spans", "text")]
+    marked = _marked(docs.select(F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept))), **options)
+    return marked.select(*(F.col("text") if c == "text" else F.col(f"_{kept.index(c)}").alias(c) for c in docs.columns if c not in ("base", "spans")), "base", "spans")
 
 
 def _term_spans() -> Column:
     """Spans of the row's terms in its text, outside base spans, from the words of the text."""
-    known = F.map_from_entries(F.transform("terms", lambda x: F.struct(x["term"], x["kind"])))
+    known = F.col("known")
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
     gaps, words = F.split("text", WORD, -1), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     pieces = F.arrays_zip(F.transform(gaps, F.length).alias("g"), F.concat(words, F.array(F.lit(""))).alias("w"))
@@ -182,8 +200,13 @@ def _term_spans() -> Column:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """docs with its texts sanitised: spans replaced by MASKS; overlapping spans of several kinds are one, masked as the first of them. Columns stay as they are; n_chars, where there is one, is set to the new length."""
-    found = find_pii(docs, **options)
+    """docs with its texts sanitised: spans replaced by MASKS; overlapping spans of several kinds are one, masked as the first of them.
+
+    Columns stay as they are, whatever their names; n_chars, where there is one, is set to the new length of a text that
+    changed. Null and empty texts stay; every row stays; an empty table gives an empty one.
+    """
+    places = {c: f"_{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    found = _marked(docs.select(F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(p) for c, p in places.items())), **options)
     order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     mask = lambda kind: F.element_at(F.create_map(*(F.lit(x) for k in MASKS.items() for x in k)), kind)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
@@ -195,9 +218,10 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr("text", acc["at"] + 1, F.length("text")))
     clean = F.when(F.size("spans") > 0, F.aggregate(order, start, step, rest)).otherwise(F.col("text"))
     found = found.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    if "n_chars" in places:
+        n = F.col(places["n_chars"])
+        found = found.withColumn(places["n_chars"], F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(n))
+    return found.select(*(F.col("text") if c == "text" else F.col(places[c]).alias(c) for c in docs.columns))
 
 
 def pii_query(spark, sf_dir: str) -> DataFrame:

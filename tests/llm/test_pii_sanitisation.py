@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -67,7 +69,7 @@ def test_terms_that_disclose(spark, corpus):
 
 def test_broadcast_and_shuffled_ways_agree(spark, corpus):
     df = spark.createDataFrame(corpus, "doc_id long, text string")
-    one, two = ({(r.doc_id, r.s) for r in p.find_pii(df, broadcast_rows=n).select("doc_id", p.joined(p.F.col("spans")).alias("s")).collect()} for n in (100_000, 0))
+    one, two = ({(r.doc_id, r.s) for r in p.find_pii(df, broadcast_bytes=n).select("doc_id", p.joined(p.F.col("spans")).alias("s")).collect()} for n in (1 << 20, -1))
     assert one == two
 
 
@@ -88,3 +90,71 @@ def test_query_columns(spark, tmp_path):
     spark.createDataFrame([(1, TEXTS[0]), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r.doc_id: r for r in p.pii_query(spark, str(tmp_path)).collect()}
     assert rows[1].base_sha256 == hashlib.sha256(brute(TEXTS[0]).encode()).hexdigest() and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_long_addresses(spark):
+    text = "x a@" + ".".join(["b1"] * 100_000) + " y" + " 1" * 50_000 + " +1" + "()2" * 30_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for whole in ("true", "false"):  # with generated code too, which the other tests go without
+        spark.conf.set("spark.sql.codegen.wholeStage", whole)
+        spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK" if whole == "true" else "NO_CODEGEN")
+        try:
+            assert p.find_pii(df).select(p.joined(p.F.col("base")).alias("b")).first().b == brute(text)
+        finally:
+            spark.conf.set("spark.sql.codegen.wholeStage", "false")
+            spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+
+
+def test_clashing_names(spark, corpus):
+    names = ["terms", "_t", "_found", "known", "base", "spans", "t", "found", "_0", "n_chars"]
+    df = spark.createDataFrame([(i, t, *[i] * len(names)) for i, t in corpus], f"doc_id long, text string, {', '.join(n + ' long' for n in names)}")
+    out = {r.doc_id: r for r in p.sanitise(df).collect()}
+    assert list(out[0].asDict()) == df.columns and all(out[7][n] == 7 for n in names[:-1]) and "Kilroy" not in out[7].text
+    found = p.find_pii(df)
+    assert found.columns == ["doc_id", "text", "terms", "_t", "_found", "known", "t", "found", "_0", "n_chars", "base", "spans"] and found.where("doc_id = 7").first().known == 7
+
+
+def brute_terms(texts, reach=5, prior=0.25, generalise=0.85, remove=0.95):
+    texts = set(t for t in texts if t)
+    near, holds = {}, {}
+    blank, edge = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"^[^\w]+|[^\w]+$")
+    term = lambda w: edge.sub("", w.lower())
+    for t in texts:
+        for w in {term(w) for w in blank.split(t)}:
+            holds.setdefault(w, set()).add(t)
+        for k, r in KINDS.items():
+            for m in r.finditer(t):
+                if valid(k, m.group()):
+                    entity = (k, re.sub("[^0-9]", "", m.group()) if k in ("card", "phone") else m.group().lower())
+                    before = [w for w in blank.split(t[max(0, m.start() - 24 * reach) : m.start()]) if w][-reach:]
+                    after = [w for w in blank.split(t[m.end() : m.end() + 24 * reach]) if w][:reach]
+                    for w in map(term, [*before, *after]):
+                        near.setdefault(entity, {}).setdefault(w, set()).add(t)
+                    near.setdefault(entity, {}).setdefault(None, set()).add(t)
+    out = {}
+    for entity, words in near.items():
+        for w, both in words.items():
+            if w is None or len(w) < 3 or not re.search(r"[^\W\d_]", w):
+                continue
+            any_ = set().union(*(ws.get(w, set()) for ws in near.values()))
+            if 2 * len(any_) <= len(holds[w]) + 1:
+                continue
+            told = 1 - math.log(len(both) / (len(holds[w]) + prior)) / math.log(len(words[None]) / len(texts))
+            out[w] = max(out.get(w, 0), told)
+    return {w: "disclosure" if s >= remove else "term" for w, s in out.items() if s >= generalise}
+
+
+def test_entities_seen_once_protect(spark):
+    """400 addresses, one a text, each beside one of 200 names that stand nowhere else: each name tells whose address it is."""
+    rng = random.Random(2)
+    rows = [f"please write to name{i % 200}x at user{i}@mail.com about {rng.choice('abc')}{i % 7} soon" for i in range(400)]
+    rows += [f"{rng.choice(['plain', 'other', 'soon'])} words about {i} stay as please write {rng.random()}" for i in range(600)] + [rows[0]] * 30
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in p.find_pii(df).select("doc_id", "text", "spans").collect()}
+    want = brute_terms(rows)
+    assert {f"name{i}x" for i in range(200)} <= set(want) and not {"please", "write", "about", "soon"} & set(want)
+    for i, r in got.items():
+        found = {(s.kind, s.value.lower()) for s in r.spans if s.kind in ("term", "disclosure")}
+        assert found == {(want[w], w) for w in rows[i].lower().split() if w in want}, rows[i]
+    spread = {r.doc_id: r.s for r in p.find_pii(df, broadcast_bytes=-1).select("doc_id", p.joined(p.F.col("spans")).alias("s")).collect()}
+    assert spread == {r.doc_id: r.s for r in p.find_pii(df).select("doc_id", p.joined(p.F.col("spans")).alias("s")).collect()}
