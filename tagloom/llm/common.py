@@ -85,15 +85,18 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def least_hashes(df: DataFrame, group: str, key: str, n: int) -> DataFrame:
-    """Rows of df (group, key) with the n least hashes of key in each group: a bounded sample that depends on keys alone.
+    """Different rows of df (group, key) with the n least hashes of key in each group: a bounded sample that depends on keys alone.
 
-    Hashes beyond twice the expected limit go before the window, so that no task sees more than about 2 n rows of a group.
+    Repeated rows are one; null keys have a hash like any other. Sizes of groups are counted with partial sums and are
+    one row a group; hashes well beyond the expected limit go where they are read, so that no task of the window sees
+    more than about 2 n + 32 rows of a group, whatever the group's size.
     """
+    each = materialise(df.select(group, key).distinct(), "keys")
+    sizes = materialise(each.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")), "sizes")
     fraction = F.shiftrightunsigned(F.xxhash64(key), 1) / float(1 << 63)
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed(group, "_g")
-    near = df.join(sizes, F.col(group) == F.col("_g")).where(fraction * F.col("_n") <= 2 * n)
+    near = each.join(within(sizes, BROADCAST), F.col(group).eqNullSafe(F.col("_g"))).where(fraction * F.col("_n") <= 2 * n + 32)
     order = Window.partitionBy(group).orderBy(fraction, key)
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select(*df.columns)
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).select(group, key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Toxicity and language identification, on held-out rows and odd ones."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -50,6 +52,59 @@ def test_forward_sums_all_segmentations():
     assert (counts * size).sum(0) == pytest.approx([8, 8])  # every byte is in one piece of each segmentation
 
 
+def test_words_of_any_length_are_summed_whole():
+    pieces = [bytes([c]) for c in b"abc"] + [b"ab", b"bca", b"cab" * 9]
+    prob = np.array([[0.3, 0.1], [0.2, 0.3], [0.1, 0.2], [0.2, 0.1], [0.1, 0.2], [0.1, 0.1]])
+    seg = lang.Segmenter(np.array([hash_of(p) for p in pieces], dtype=np.uint64), 27)
+    words = [b"abcab" * n for n in (1, 4, 6, 20, 50, 190)]
+    got = seg.log_probability(words, prob)
+    for i, w in enumerate(words):
+        for k in (0, 1):
+            total = [Fraction(1)]
+            known = {p: Fraction(float(x)) for p, x in zip(pieces, prob[:, k], strict=True)}
+            for end in range(1, len(w) + 1):
+                total.append(sum((total[s] * known[w[s:end]] for s in range(max(0, end - 27), end) if w[s:end] in known), Fraction(0)))
+            want = math.log(total[-1].numerator) - math.log(total[-1].denominator)
+            assert got[i, k] == pytest.approx(want, rel=1e-9)
+        assert seg._long(w, prob) == pytest.approx(got[i], rel=1e-9)
+    some, lang.PART = lang.PART, 64
+    try:
+        assert seg._long(words[-1], prob) == pytest.approx(got[-1], rel=1e-9)
+    finally:
+        lang.PART = some
+
+
+def test_letters_are_category_l():
+    assert lang.has_letter("½a") and lang.has_letter("日") and not any(map(lang.has_letter, ("½²①", "12 _-", "", "Ⅷ")))
+
+
+def test_null_and_repeated_ids_keep_their_languages(spark):
+    r = random.Random(4)
+    text = lambda words: " ".join(r.choices(words, k=12))
+    de, en, it = "der haus und groß jahr".split(), "the house and great year".split(), "casa grande anno della".split()
+    rows = [(i, text(en), "en") for i in range(50)] + [(100 + i, text(de), "de") for i in range(40)] + [(None, text(de), "de") for _ in range(60)]
+    rows += [(500, "casa grande", "it")] * 300 + [(501, text(it), "it")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.fit_on_sample(df, lang.F.lit(True), per_lang=30)
+    assert model.langs == ["de", "en", "it"]
+    clash = df.withColumns({"key": lang.F.lit(1), "_lang": lang.F.lit("x"), "held_out": lang.F.lit(5), "score": lang.F.lit(2)})
+    got = lang.identify_languages(clash, per_lang=30)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == len(rows) and got.where("doc_id = 501").first().lang_pred == "it"
+
+
+def test_predictions_equal_brute_force(spark, spoken):
+    """The query's posterior against sums over all segmentations, word by word."""
+    df = spark.createDataFrame(spoken, "doc_id long, text string, lang string")
+    held = lang.remainder(lang.F.col("doc_id"), 4) == 2
+    model = lang.fit_on_sample(df, ~held, per_lang=40)
+    known = [dict(zip(lang.read_pieces(), column, strict=True)) for column in model.prob.T]
+    got = {r.doc_id: r for r in lang.identify_languages(df, per_lang=40).collect()}
+    for i, t, _ in spoken[:25]:
+        total = [sum(math.log(brute_forward(b" " + w, None, prob)) for w in t.encode().split()) for prob in known]
+        top = max(total)
+        assert got[i].lang_pred == model.langs[total.index(top)] and got[i].score == pytest.approx(1 / sum(math.exp(x - top) for x in total), rel=1e-3)
+
+
 @pytest.fixture(scope="module")
 def spoken():
     r = random.Random(0)
