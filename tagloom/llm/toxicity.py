@@ -4,11 +4,12 @@ Two character n-gram models, one of the words of toxic documents and one of thos
 length-normalised log-likelihood under either class. Both are interpolated Kneser-Ney models: the highest order from
 counts, lower orders from continuation counts. Up to `shared` characters of context the counts of both classes are
 pooled, so a rare expression that one class has not seen falls back on the same distribution in both and says nothing.
-A document's evidence is the greatest word log-ratios in it, the mean over its words and their count; a logistic
-curve, fitted on documents that the models have not seen, turns it into a score.
+A document's evidence is the difference of its length-normalised log-likelihoods under both classes: of the whole text,
+and of the words where it is greatest, as a few words can make a long text toxic. A logistic curve, fitted on documents
+that the models have not seen, turns it into a score.
 
-The fit sees a bounded sample: `per_class` training documents of each class (the least hashes of doc_id) and, of those
-in the half for counting, the `most_words` most frequent words. Everything else covers all documents.
+The fit sees a bounded sample: `per_class` training documents of each class, those of least hash of doc_id; half of them
+are counted, all their words, and half set the curve. Everything else covers all documents.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hashes, remainder, ship
+from .common import least_hashes, materialise, remainder, ship
 from .wordscores import Lookup, WordScores, chunks, mixed, padded, prefix_hashes
 
 ship(__name__)
 
 #: Bytes of a word that are scored at once; longer words are scored in parts.
 WIDTH = 30
-FEATURES = 5
+FEATURES = 7
 DISCOUNT = 0.75
-#: Grams longer than this need two documents.
+#: Count cutoff of the higher orders, as usual in n-gram models: grams longer than this need two documents of the sample.
 SINGLES = 3
 #: Added to the length in a context's hash, which keeps it apart from a gram's.
 CONTEXT = 1 << 12
@@ -132,7 +133,7 @@ def _hash(prefix: np.ndarray, powers: np.ndarray, start: int, end: int, salt: in
 
 
 def evidence(texts: list[bytes], scorer: WordScores) -> np.ndarray:
-    """For each text: the three greatest log-ratios of different words, the greatest mean over a word's bytes, and the mean over all words."""
+    """For each text the log-ratio per byte of the whole, the three greatest ones of its different words, and the three greatest of a word in total."""
     out = np.zeros((len(texts), FEATURES))
     for a, b in chunks(texts):
         parts = [word_parts(t) for t in texts[a:b]]
@@ -140,16 +141,17 @@ def evidence(texts: list[bytes], scorer: WordScores) -> np.ndarray:
         if not flat:
             continue
         index = scorer(flat)
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat)) - 1
         end = 0
         for k, p in enumerate(parts):
-            own = np.unique(index[end : end + len(p)])
+            if p:
+                all_, own = index[end : end + len(p)], np.unique(index[end : end + len(p)])
+                total, each = scorer.rows[all_, 0], scorer.rows[own]
+                top = np.sort(each, axis=0)[::-1][:3]
+                out[a + k, 0] = total.sum(dtype=np.float64) / max(sizes[end : end + len(p)].sum(), 1)
+                out[a + k, 1 : 1 + len(top)] = top[:, 1]
+                out[a + k, 4 : 4 + len(top)] = top[:, 0]
             end += len(p)
-            if len(p):
-                each = scorer.rows[own]
-                top = np.sort(each[:, 0])[::-1][:3]
-                out[a + k, : len(top)] = top
-                out[a + k, 3] = each[:, 1].max()
-                out[a + k, 4] = each[:, 0].mean()
     return out
 
 
@@ -185,7 +187,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _count_grams(order: int):
-    """The models of at most most_words words, made in one task: the driver only gets their tables."""
+    """The models of the words of a sample, made in one task: the driver only gets their tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = pa.Table.from_batches(batches, pa.schema([("w", pa.binary()), ("o", pa.int64()), ("t", pa.int64())]))
@@ -197,11 +199,13 @@ def _count_grams(order: int):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 3000, most_words: int = 150_000, order: int = 9) -> ToxicityModel:
-    """Fit on labelled rows (doc_id, toxic) for which train holds and docs (doc_id, text). A doc_id that several labels name counts as toxic if one says so."""
+def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2400, order: int = 9) -> ToxicityModel:
+    """Fit on labelled rows (doc_id, toxic) for which train holds and docs (doc_id, text). A doc_id that several labels name counts as toxic if one says so; one that several rows have stands for its least text."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & train).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = least_hashes(named, "toxic", "doc_id", per_class).withColumn("counts", F.xxhash64("doc_id", F.lit(7)) % 2 != 0)
-    sample = docs.join(F.broadcast(chosen), "doc_id")  # 2 * per_class rows of two numbers
+    chosen = F.broadcast(materialise(chosen, "sample"))  # 2 * per_class rows of two numbers
+    sample = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic", "counts").agg(F.min("text").alias("text"))
+    sample = materialise(sample, "sample-texts")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,11 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 3000
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], names=["w", "toxic"])
 
     found = sample.where("counts").select("text", "toxic").mapInArrow(distinct_words, "w binary, toxic int")
-    words = found.groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).orderBy(F.desc(F.col("o") + F.col("t")), F.xxhash64("w")).limit(most_words)
+    words = found.groupBy("w").agg(F.sum(1 - F.col("toxic")).alias("o"), F.sum("toxic").alias("t")).orderBy("w")
     made = words.coalesce(1).mapInArrow(_count_grams(order), "keys binary, gains binary, backs binary, falls binary").collect()
     if not made:
         return ToxicityModel(None, None)
-    # At most most_words words' grams, sent once for all uses: as plain bytes, which need no code of ours to be read.
+    # The grams of at most per_class documents, sent once for all uses: as plain bytes, which need no code of ours to be read.
     models = docs.sparkSession.sparkContext.broadcast((order, *map(bytes, made.pop())))
     held = sample.where(~F.col("counts")).select("text", "toxic")
 
@@ -258,8 +262,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
     Labels (doc_id, toxic) of rows whose crc32(doc_id) modulo folds is not `fold` train the models. Other columns are
-    ignored. Null, empty and blank texts are scored like any other, from no evidence. Repeated rows are scored each;
-    an empty table gives an empty one; without labels of both classes every score is 0.
+    ignored, whatever their names. Null, empty and blank texts are scored like any other, from no evidence; very long
+    texts whole, words of more than WIDTH bytes in parts. Repeated rows are scored each; equal scores need no order; an
+    empty table gives an empty one; without labels of both classes every score is 0.
     """
     held = remainder(F.col("doc_id"), folds) == fold
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -167,6 +167,92 @@ def test_class_models_are_distributions():
     assert rows[0, 0] > 0 > rows[1, 0] and abs(rows[2, 0]) < abs(rows[0, 0])
 
 
+class KneserNey:
+    """One class of interpolated Kneser-Ney models in plain Python; orders up to shared + 1 count both classes."""
+
+    def __init__(self, words, counts, c, order, shared):
+        grams = {}
+        for n in range(1, order + 1):
+            seen = {}
+            for w, k in zip(words, counts, strict=True):
+                for end in range(max(n, 2), len(w) + 1):
+                    g = w[end - n : end]
+                    seen[g] = seen.get(g, 0) + np.array(k)
+            if n > 3:
+                seen = {g: k for g, k in seen.items() if k.sum() >= 2}
+            if not seen:
+                break
+            grams[n] = seen
+        self.prob, self.back = {}, {}
+        for n, seen in grams.items():
+            held = {g: k.astype(float) for g, k in seen.items()}
+            if n + 1 in grams:
+                for g in held:
+                    if not g.startswith(b"^"):
+                        held[g] = sum(((k > 0).astype(float) for longer, k in grams[n + 1].items() if longer[1:] == g), np.zeros(2))
+            count = {g: k.sum() if n <= shared + 1 else k[c] for g, k in held.items()}
+            for context in {g[:-1] for g in count}:
+                own = {g: k for g, k in count.items() if g[:-1] == context}
+                total = sum(own.values())
+                self.back[context] = sum(min(k, 0.75) for k in own.values()) / total if total else 1.0
+                for g, k in own.items():
+                    below = self.prob[g[1:]] if n > 1 else 1 / 256
+                    self.prob[g] = (max(k - 0.75, 0) / total if total else 0) + self.back[context] * below
+        self.order = order
+
+    def next(self, context, byte):
+        context = context[max(0, len(context) - self.order + 1) :]
+        weight = 1.0
+        while True:
+            if context + byte in self.prob:
+                return weight * self.prob[context + byte]
+            weight *= self.back.get(context, 1.0)
+            if not context:
+                return weight / 256
+            context = context[1:]
+
+
+@pytest.mark.parametrize("order,shared", [(2, 0), (4, 2), (6, 1)])
+def test_class_models_equal_brute_force(order, shared):
+    r = random.Random(order)
+    words = sorted({b"^" + bytes(r.choices(b"abcd", k=r.randint(1, 7))) + b"$" for _ in range(60)})
+    counts = [(r.randint(0, 4), r.randint(0, 3)) for _ in words]
+    plain = [KneserNey(words, counts, c, order, shared) for c in (0, 1)]
+    for m in plain:
+        for context in (b"^", b"^a", b"ab", b"abcd", b"zz"):
+            assert sum(m.next(context, bytes([b])) for b in range(256)) == pytest.approx(1)
+    score = tox.ClassModels(words, np.array(counts, dtype=float), order=order, shared=shared).scorer()
+    asked = [*words[:20], b"^dcba$", b"^zebra$", b"^a"]
+    got = score.rows[score(asked)]
+    for w, (total, mean) in zip(asked, got, strict=True):
+        want = sum(math.log(plain[1].next(w[:i], w[i : i + 1]) / plain[0].next(w[:i], w[i : i + 1])) for i in range(1, len(w)))
+        assert total == pytest.approx(want, abs=1e-4) and mean == pytest.approx(want / (len(w) - 1), abs=1e-4)
+
+
+def test_scores_equal_brute_force(spark, labelled):
+    """The query's scores against features and curve in plain Python, from the models that the fit made."""
+    docs, labels = labelled
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tox.fit(df, lab, tox.remainder(tox.F.col("doc_id"), 3) != 1)
+    ratios = tox.ClassModels.read(*model.models.value).scorer()
+    mean, scale, w = model.curve
+    got = {r.doc_id: r.score for r in tox.score_toxicity(df, lab).collect()}
+    for i, t in docs[:60]:
+        words = [b"^" + x + b"$" for x in t.encode().split()]
+        each = {x: ratios.rows[ratios([x])[0]] for x in words}
+        x = [sum(each[v][0] for v in words) / sum(len(v) - 1 for v in words), *sorted((e[1] for e in each.values()), reverse=True)[:3], *sorted((e[0] for e in each.values()), reverse=True)[:3]]
+        z = sum((a - m) / s * k for a, m, s, k in zip(x, mean, scale, w, strict=False)) + w[-1]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_repeated_ids_are_one_document(spark, labelled):
+    docs, labels = labelled
+    df = spark.createDataFrame([*docs, *[docs[3]] * 500], "doc_id long, text string")
+    rows = tox.score_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    one = {r.doc_id: r.score for r in tox.score_toxicity(df.distinct(), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert len(rows) == len(docs) + 500 and all(r.score == pytest.approx(one[r.doc_id], abs=1e-6) for r in rows)
+
+
 def test_without_labels(spark, labelled):
     df = spark.createDataFrame(labelled[0][:5], "doc_id long, text string")
     for lab in ([], [(1, 0), (2, 0)]):
