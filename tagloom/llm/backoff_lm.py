@@ -7,11 +7,14 @@ with weight mu / (c(u) + mu). A text is read once from left to right: in state u
 else the failure arc and then the root's arc; the next state is w's, or the root if w is unknown.
 
 The counts are those of the whole corpus and live on no single machine. Documents are dealt to blocks by a hash of
-their id. A block asks for the totals of its own different words and bigrams; the questions are dealt to shards by
+their id and place. A block asks for the totals of its own different words and bigrams; the questions are dealt to
 ranges of a 64-bit hash, summed there, and the answers go back, as bare arrays in the order of the question. A block
-thus gets just the part of the automaton that its texts can reach. Blocks and shards grow in number with the corpus,
-not in size: a block is about `block_bytes` of text, a shard gets the questions of about `shard_bytes` of text. A very
-common word or bigram is one entry of each block that has it, whatever its count.
+then builds the part of the automaton that its texts can reach and reads them with it. Blocks and ranges grow in number
+with the corpus, not in size: a block is about `block_bytes` of text, a range gets the questions of about `shard_bytes`.
+
+A block asks at most `fan` ranges. Where the corpus has more of them, `fan` blocks at a time are merged within each range,
+their questions summed and dealt to `fan` finer ranges, and so on; so a block has at most `fan` rows a level, the levels
+grow like a logarithm, and the rows in proportion to the text. No task holds more than about a block's questions at once.
 """
 
 from __future__ import annotations
@@ -36,26 +39,47 @@ START, END = b" <", b" >"
 class BackoffAutomaton:
     """States, arcs and failure arcs, from counts of words (END among them) and of bigrams (START may come first).
 
-    kinds and total are the corpus's V and N; they differ from the counts given if these are only a part of it.
+    kinds and total are the corpus's V and N; they differ from the counts given if these are only a part of it. Words may
+    be any keys; `end` and `start` are those of the two marks.
     """
 
-    def __init__(self, words: dict[bytes, int], bigrams: dict[tuple[bytes, bytes], int], total: int, kinds: int, mu: float = MU) -> None:
-        unit = total + 0.5 * (kinds + 1)
-        self.unknown = np.log10(0.5 / unit)
-        self.root = {w: np.log10((c + 0.5) / unit) for w, c in words.items() if c}
-        history = {START: words.get(END, 0)} | {w: c for w, c in words.items() if w != END}
-        self.fail = {u: np.log10(mu / (c + mu)) for u, c in history.items() if c}
-        self.arcs = {(u, w): np.log10((c + mu * 10 ** self.root[w]) / (history[u] + mu)) for (u, w), c in bigrams.items() if c}
+    def __init__(self, words: dict, bigrams: dict, total: int, kinds: int, mu: float = MU, start=START, end=END) -> None:
+        keys = [w for w, c in words.items() if c]
+        pairs = [p for p, c in bigrams.items() if c]
+        self._weigh(keys, np.array([words[w] for w in keys], float), pairs, np.array([bigrams[p] for p in pairs], float), total, kinds, mu, start, end)
 
-    def traverse(self, words: Iterable[bytes]) -> float:
+    @classmethod
+    def of_arrays(cls, counts: np.ndarray, states: np.ndarray, words: np.ndarray, seen: np.ndarray, total: int, kinds: int, mu: float, start: int, end: int) -> BackoffAutomaton:
+        """The same from numbered words with their counts, and bigrams (state, word) with theirs."""
+        out = cls.__new__(cls)
+        known, some = np.flatnonzero(counts > 0), np.flatnonzero(seen > 0)
+        out._weigh(known.tolist(), counts[known].astype(float), list(zip(states[some].tolist(), words[some].tolist(), strict=True)), seen[some].astype(float), total, kinds, mu, start, end)
+        return out
+
+    def _weigh(self, keys: list, counts: np.ndarray, pairs: list, seen: np.ndarray, total: int, kinds: int, mu: float, start, end) -> None:
+        unit = total + 0.5 * (kinds + 1)
+        self.start, self.end, self.unknown = start, end, float(np.log10(0.5 / unit))
+        shares = (counts + 0.5) / unit
+        self.root = dict(zip(keys, np.log10(shares).tolist(), strict=True))
+        # A text's start is as frequent as its end, which is no history itself.
+        history = dict(zip(keys, counts.tolist(), strict=True))
+        history[start] = history.pop(end, 0.0)
+        states = [u for u, c in history.items() if c]
+        self.fail = dict(zip(states, np.log10(mu / (np.array([history[u] for u in states]) + mu)).tolist(), strict=True))
+        share = dict(zip(keys, shares.tolist(), strict=True))
+        backed = np.array([share[w] for _, w in pairs])
+        self.arcs = dict(zip(pairs, np.log10((seen + mu * backed) / (np.array([history[u] for u, _ in pairs]) + mu)).tolist(), strict=True))
+
+    def traverse(self, words: Iterable) -> float:
         """log10 probability of a text's words and its end."""
-        state, score = START if START in self.fail else None, 0.0
-        for w in (*words, END):
-            arc = self.arcs.get((state, w))
+        arcs, fail, root, unknown = self.arcs.get, self.fail, self.root.get, self.unknown
+        state, score = self.start if self.start in fail else None, 0.0
+        for w in (*words, self.end):
+            arc = arcs((state, w))
             if arc is None:
-                arc = self.fail.get(state, 0.0) + self.root.get(w, self.unknown)
+                arc = fail.get(state, 0.0) + root(w, unknown)
             score += arc
-            state = w if w in self.fail else None
+            state = w if w in fail else None
         return score
 
 
@@ -93,14 +117,9 @@ class _Block:
         self.ids, self.before, self.end = self.place[ids], self.place[before], self.place[index.get(END, 0)]
         self.start = int(self.place[0])
         self.word_counts = np.bincount(self.ids[trained], minlength=len(index))
-        self.bigrams, self.arcs = np.unique(_mix(hashes[before], hashes[ids]), return_inverse=True)
-        self.bigram_counts = np.bincount(self.arcs[trained], minlength=len(self.bigrams))
-
-    def cuts(self, shards: int) -> list[tuple[int, int, int, int, int]]:
-        """(shard, first and last of its words, of its bigrams)."""
-        a, b = (np.searchsorted(((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64)) for h in (self.words, self.bigrams))
-        return [(s, int(a[s]), int(a[s + 1]), int(b[s]), int(b[s + 1])) for s in range(shards) if a[s] < a[s + 1] or b[s] < b[s + 1]]
-
+        self.bigrams, at, arcs = np.unique(_mix(hashes[before], hashes[ids]), return_index=True, return_inverse=True)
+        self.states, self.nexts = self.before[at], self.ids[at]
+        self.bigram_counts = np.bincount(arcs[trained], minlength=len(self.bigrams))
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers with all first bytes together, then all second bytes and so on: the shuffle's compression finds the zeros."""
@@ -120,89 +139,156 @@ def _hashes(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
-QUESTION = "shard int, block int, words binary, word_counts binary, bigrams binary, bigram_counts binary"
-ANSWER = "block int, shard int, words binary, bigrams binary, total long, kinds long"
+def _cuts(words: np.ndarray, bigrams: np.ndarray, ranges: int, first: int, n: int) -> list[tuple[int, int, int, int, int]]:
+    """(range, first and last of its words, of its bigrams) for those of the n ranges from `first` on, out of `ranges`, that get any of the sorted hashes."""
+    edge = np.arange(first, first + n + 1, dtype=np.uint64)
+    a, b = (np.searchsorted(((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), edge).tolist() for h in (words, bigrams))
+    return [(first + s, a[s], a[s + 1], b[s], b[s + 1]) for s in range(n) if a[s] < a[s + 1] or b[s] < b[s + 1]]
+
+
+QUESTION = "part long, owner long, words binary, word_counts binary, bigrams binary, bigram_counts binary"
+ANSWER = "part long, owner long, words binary, bigrams binary, total long, kinds long"
+KIND = {"long": pa.int64(), "binary": pa.binary()}
 
 
-def _ask(shards: int):
+def _rows(shape: str, rows: list[tuple]) -> pa.Table:
+    return pa.table({c.split()[0]: pa.array([r[i] for r in rows], KIND[c.split()[1]]) for i, c in enumerate(shape.split(", "))})
+
+
+def _questions(owner: int, words: np.ndarray, word_counts: np.ndarray, bigrams: np.ndarray, bigram_counts: np.ndarray, ranges: int, first: int, n: int) -> pa.Table:
+    cuts = _cuts(words, bigrams, ranges, first, n)
+    return _rows(QUESTION, [(s, owner, _planes(words[i:j]), _pack(word_counts[i:j]), _planes(bigrams[k:m]), _pack(bigram_counts[k:m])) for s, i, j, k, m in cuts])
+
+
+def _ask(ranges: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         b = _Block(table)
-        rows = [(s, key[0].as_py(), _planes(b.words[i:j]), _pack(b.word_counts[i:j]), _planes(b.bigrams[k:m]), _pack(b.bigram_counts[k:m])) for s, i, j, k, m in b.cuts(shards)]
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        names = [c.split()[0] for c in QUESTION.split(", ")]
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))})
+        return _questions(key[0].as_py(), b.words, b.word_counts, b.bigrams, b.bigram_counts, ranges, 0, ranges)
 
     return run
 
 
-def _sums(hashes: list[bytes], counts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Totals for each question in its order, and the totals of different entries."""
-    each = [_hashes(h) for h in hashes]
-    different, where = np.unique(np.concatenate(each), return_inverse=True)
-    totals = np.bincount(where, weights=np.concatenate([_unpack(c) for c in counts]), minlength=len(different)).astype(np.int64)
-    ends = np.cumsum([len(h) for h in each])
-    return [_pack(totals[part]) for part in np.split(where, ends[:-1])], totals
+class _Sums:
+    """Different entries of several questions, their totals, and the place of each entry of each question."""
+
+    def __init__(self, hashes: list[bytes], counts: list[bytes]) -> None:
+        each = [_hashes(h) for h in hashes]
+        self.different, self.where = np.unique(np.concatenate(each), return_inverse=True)
+        self.totals = np.bincount(self.where, weights=np.concatenate([_unpack(c) for c in counts]), minlength=len(self.different)).astype(np.int64)
+        self.ends = np.cumsum([len(h) for h in each])
+
+    def dealt(self, totals: np.ndarray) -> list[bytes]:
+        """totals for each question in its order."""
+        return [_pack(totals[w]) for w in np.split(self.where, self.ends[:-1])]
+
+
+def _both(table: pa.Table) -> tuple[_Sums, _Sums]:
+    return tuple(_Sums(table[c].to_pylist(), table[n].to_pylist()) for c, n in (("words", "word_counts"), ("bigrams", "bigram_counts")))
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """One row for each question; the first also has the shard's share of N and V."""
-    words, totals = _sums(table["words"].to_pylist(), table["word_counts"].to_pylist())
-    bigrams, _ = _sums(table["bigrams"].to_pylist(), table["bigram_counts"].to_pylist())
-    zeros = [0] * (table.num_rows - 1)
-    return pa.table({
-        "block": table["block"], "shard": table["shard"], "words": pa.array(words, pa.binary()), "bigrams": pa.array(bigrams, pa.binary()),
-        "total": pa.array([int(totals.sum()), *zeros], pa.int64()), "kinds": pa.array([int((totals > 0).sum()), *zeros], pa.int64()),
-    })
+    """One row for each question of a range; the first also has the range's share of N and V."""
+    words, bigrams = _both(table)
+    n = table.num_rows
+    share = [(int(words.totals.sum()), int((words.totals > 0).sum())), *[(0, 0)] * (n - 1)]
+    dealt = zip(table["part"].to_pylist(), table["owner"].to_pylist(), words.dealt(words.totals), bigrams.dealt(bigrams.totals), share, strict=True)
+    return _rows(ANSWER, [(p, o, w, b, *s) for p, o, w, b, s in dealt])
+
+
+def _merge(ranges: int, n: int):
+    """The questions of some owners in one range as those of one owner in n finer ranges, `ranges` in all."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        words, bigrams = _both(table)
+        return _questions(key[1].as_py(), words.different, words.totals, bigrams.different, bigrams.totals, ranges, key[0].as_py() * n, n)
+
+    return run
+
+
+def _spread(ranges: int, n: int):
+    """Answers to merged questions as answers to the owners' own."""
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        words, bigrams = _both(table)
+        one, two = np.zeros(len(words.different), np.int64), np.zeros(len(bigrams.different), np.int64)
+        slices = {s: c for s, *c in _cuts(words.different, bigrams.different, ranges, key[0].as_py() * n, n)}
+        for s, w, b in zip(*(answers[c].to_pylist() for c in ("part", "words", "bigrams")), strict=True):
+            i, j, k, m = slices[s]
+            one[i:j], two[k:m] = _unpack(w), _unpack(b)
+        share = [(sum(answers["total"].to_pylist()), sum(answers["kinds"].to_pylist())), *[(0, 0)] * (table.num_rows - 1)]
+        dealt = zip(table["part"].to_pylist(), table["owner"].to_pylist(), words.dealt(one), bigrams.dealt(two), share, strict=True)
+        return _rows(ANSWER, [(p, o, w, b, *s) for p, o, w, b, s in dealt])
+
+    return run
+
+
+def answered(questions: DataFrame, ranges: int, finer: list[int], fan: int) -> DataFrame:
+    """ANSWER rows for QUESTION rows in `ranges` ranges, which are cut into finer[0] ranges each, and so on."""
+    if not finer:
+        return questions.groupBy("part").applyInArrow(_answer, ANSWER)
+    grouped = questions.withColumn("team", F.floor(F.col("owner") / fan))
+    n, below = finer[0], ranges * finer[0]
+    merged = grouped.groupBy("part", "team").applyInArrow(_merge(below, n), QUESTION)
+    up = answered(merged, below, finer[1:], fan).withColumns({"over": F.floor(F.col("part") / n), "team": F.col("owner")})
+    return grouped.groupBy("part", "team").cogroup(up.groupBy("over", "team")).applyInArrow(_spread(below, n), ANSWER)
+
+
+def levels(ranges: int, fan: int) -> list[int]:
+    """Numbers of ranges, level by level, `fan` at most, with a product of at least `ranges`."""
+    out = []
+    while ranges > fan:
+        out.append(fan)
+        ranges = -(-ranges // fan)
+    return [*out, ranges]
 
 
-def _read(shards: int, mu: float):
-    """Scores of a block's texts: the traversal of its part of the automaton, all texts at once. A bigram's state is its first word, whatever the way there, so the weights of all steps can be looked up together."""
+def _read(ranges: int, mu: float):
+    """Scores of a block's texts: the automaton of what they can reach, and a traversal of each."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(docs)
         c1, c2 = np.zeros(len(b.words)), np.zeros(len(b.bigrams))
-        slices = {s: (i, j, k, m) for s, i, j, k, m in b.cuts(shards)}
-        for s, words, bigrams in zip(*(answers[n].to_pylist() for n in ("shard", "words", "bigrams")), strict=True):
+        slices = {s: c for s, *c in _cuts(b.words, b.bigrams, ranges, 0, ranges)}
+        for s, words, bigrams in zip(*(answers[n].to_pylist() for n in ("part", "words", "bigrams")), strict=True):
             i, j, k, m = slices[s]
             c1[i:j], c2[k:m] = _unpack(words), _unpack(bigrams)
         total, kinds = (answers[n][0].as_py() if answers.num_rows else 0 for n in ("n_all", "v_all"))
-        root = np.log10((c1 + 0.5) / (total + 0.5 * (kinds + 1)))
-        history = c1.copy()
-        history[b.start], history[b.end] = c1[b.end], 0
-        fail = np.where(history > 0, np.log10(mu / (history + mu)), 0.0)
-        step, seen, state = root[b.ids], c2[b.arcs], b.before
-        arc = np.where(seen > 0, np.log10((seen + mu * 10**step) / (history[state] + mu)), fail[state] + step)
-        first = np.cumsum(b.lengths) - b.lengths
-        gather = lambda x: np.add.reduceat(x, first) if len(first) else np.empty(0)
-        n = len(b.lengths)
+        auto = BackoffAutomaton.of_arrays(c1, b.states, b.nexts, c2, total, kinds, mu, b.start, int(b.end))
+        base = np.log10((c1 + 0.5) / (total + 0.5 * (kinds + 1)))
+        ends = np.cumsum(b.lengths)
+        first, n = ends - b.lengths, len(b.lengths)
+        gather = lambda x: np.add.reduceat(x, first) if n else np.empty(0)
+        read = (auto.traverse(b.ids[i : j - 1].tolist()) for i, j in zip(first.tolist(), ends.tolist(), strict=True))
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(b.lengths, pa.int64()),
             "n_known": pa.array(gather((c1[b.ids] > 0).astype(np.int64)).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)),
-            "base_score": pa.array(gather(step).astype(float)), "score": pa.array(gather(arc).astype(float)),
+            "base_score": pa.array(gather(base[b.ids]).astype(float)), "score": pa.array(np.fromiter(read, float, n)),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, mu: float = MU, block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, mu: float = MU, block_bytes: int = 4 << 20, shard_bytes: int = 8 << 20, fan: int = 4096) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
     Rows for which held_out is not true train the model. Texts are lower-cased (A-Z) and cut at ASCII blanks; each ends
-    with an end token; a null text is empty, and an empty one has just its end. base_score sums log10 of the unigram,
-    score is the automaton's. Rows repeat as they are; null ids are one block's; without training rows all counts are 0;
-    other columns are ignored; an empty table gives an empty one.
+    with an end token; a null text is empty, and an empty one has just its end; a text of any length is read whole, in
+    one block. Rows repeat as they are, and count as often; null and repeated ids are spread over the blocks like others;
+    without training rows all counts are 0; other columns are ignored; an empty table gives an empty one. docs should
+    give its rows in the same order each time it is read, as files do.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = slim.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    blocks, shards = -(-(size + 1) // block_bytes), -(-(size + 1) // shard_bytes)
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    blocks = -(-(size + 1) // block_bytes)
+    first, *finer = levels(-(-(size + 1) // shard_bytes), fan)
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("long"))
     # One plan: the texts are shuffled once, as both uses of a block read the same exchange.
-    asked = dealt.groupBy("block").applyInArrow(_ask(shards), QUESTION)
-    answers = asked.groupBy("shard").applyInArrow(_answer, ANSWER)
+    asked = dealt.groupBy("block").applyInArrow(_ask(first), QUESTION)
+    answers = answered(asked, first, finer, fan)
     every = answers.agg(F.sum("total").alias("n_all"), F.sum("kinds").alias("v_all"))
-    answers = answers.select("block", "shard", "words", "bigrams").join(F.broadcast(every))
+    answers = answers.select("part", F.col("owner").alias("block"), "words", "bigrams").join(F.broadcast(every))
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_read(shards, mu), shape)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_read(first, mu), shape)
 
 
 def lm_query(spark, sf_dir: str) -> DataFrame:

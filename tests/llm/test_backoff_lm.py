@@ -45,8 +45,8 @@ def same(got, want):
 def test_equals_one_automaton(spark):
     data = rows()
     df = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, block int")
-    for block_bytes, shard_bytes in ((4 << 20, 8 << 20), (300, 500)):
-        got = m.score_texts(df, m.remainder(F.col("doc_id"), 5) == 1, block_bytes=block_bytes, shard_bytes=shard_bytes).collect()
+    for block_bytes, shard_bytes, fan in ((4 << 20, 8 << 20, 4096), (300, 500, 4096), (1000, 400, 8), (2500, 700, 3)):
+        got = m.score_texts(df, m.remainder(F.col("doc_id"), 5) == 1, block_bytes=block_bytes, shard_bytes=shard_bytes, fan=fan).collect()
         same([tuple(r) for r in got], brute(data)[0])
 
 
@@ -62,3 +62,29 @@ def test_no_training_rows_and_empty_table(spark):
     got = {r.doc_id: r for r in m.score_texts(df, F.lit(True)).collect()}
     assert got[1].train_tokens == 0 and got[1].n_known == 0 and got[1].n_tokens == 3 and got[2].n_tokens == 1
     assert m.score_texts(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_rows_of_questions_are_in_proportion_to_the_text(spark, monkeypatch):
+    """At most `fan` rows a block at each level, however much text there is, and one level more for `fan` times the text."""
+    r = random.Random(1)
+    counted = []
+    plain = m.answered
+
+    def counting(questions, *rest):
+        counted.append(questions.count())
+        return plain(questions, *rest)
+
+    monkeypatch.setattr(m, "answered", counting)
+    for n in (100, 400, 1600):
+        df = spark.createDataFrame([(i, " ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(60))) for i in range(n)], "doc_id long, text string")
+        size = df.agg(F.sum(F.octet_length("text") + 1)).first()[0]
+        m.score_texts(df, F.lit(False), block_bytes=3000, shard_bytes=500, fan=8)
+        blocks = -(-(size + 1) // 3000)
+        assert max(counted) <= 8 * blocks and len(counted) <= math.ceil(math.log(size / 500, 8)) + 1
+        counted.clear()
+
+
+def test_blocks_share_hot_ids(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"word{i % 3} x") for i in range(400)], "doc_id long, text string")
+    got = m.score_texts(df, F.lit(False), block_bytes=400, shard_bytes=800)
+    assert got.count() == 400 and len({(r.n_tokens, r.train_tokens) for r in got.collect()}) == 1
