@@ -39,49 +39,55 @@ START, END = b" <", b" >"
 class BackoffAutomaton:
     """States, arcs and failure arcs, from counts of words (END among them) and of bigrams (START may come first).
 
-    kinds and total are the corpus's V and N; they differ from the counts given if these are only a part of it. Words may
-    be any keys; `end` and `start` are those of the two marks.
+    kinds and total are the corpus's V and N; they differ from the counts given if these are only a part of it. Inside,
+    words and states are numbers, and the root is the state after the last word's.
     """
 
-    def __init__(self, words: dict, bigrams: dict, total: int, kinds: int, mu: float = MU, start=START, end=END) -> None:
-        keys = [w for w, c in words.items() if c]
-        pairs = [p for p, c in bigrams.items() if c]
-        self._weigh(keys, np.array([words[w] for w in keys], float), pairs, np.array([bigrams[p] for p in pairs], float), total, kinds, mu, start, end)
+    def __init__(self, words: dict[bytes, int], bigrams: dict[tuple[bytes, bytes], int], total: int, kinds: int, mu: float = MU) -> None:
+        self.number = {w: i for i, w in enumerate(dict.fromkeys([START, END, None, *words]))}  # None: any unknown word
+        counts = np.array([words.get(w, 0) for w in self.number], float)
+        pairs = np.array([(self.number[u], self.number[w]) for u, w in bigrams], np.int64).reshape(-1, 2)
+        self._weigh(counts, pairs[:, 0], pairs[:, 1], np.array(list(bigrams.values()), float), total, kinds, mu, 0, 1)
+        # The same by name.
+        self.root = {w: self._root[i] for w, i in self.number.items() if counts[i]}
+        self.fail = {w: self._fail[i] for w, i in self.number.items() if self._to[i] == i or (w == START and counts[1])}
+        self.arcs = {(u, w): self._arcs[self.number[u] * self.width + self.number[w]] for (u, w), c in bigrams.items() if c}
 
     @classmethod
-    def of_arrays(cls, counts: np.ndarray, states: np.ndarray, words: np.ndarray, seen: np.ndarray, total: int, kinds: int, mu: float, start: int, end: int) -> BackoffAutomaton:
-        """The same from numbered words with their counts, and bigrams (state, word) with theirs."""
+    def of_arrays(cls, counts: np.ndarray, states: np.ndarray, nexts: np.ndarray, seen: np.ndarray, total: int, kinds: int, mu: float, start: int, end: int) -> BackoffAutomaton:
+        """The same from the counts of numbered words, and bigrams (states, nexts) with theirs."""
         out = cls.__new__(cls)
-        known, some = np.flatnonzero(counts > 0), np.flatnonzero(seen > 0)
-        out._weigh(known.tolist(), counts[known].astype(float), list(zip(states[some].tolist(), words[some].tolist(), strict=True)), seen[some].astype(float), total, kinds, mu, start, end)
+        out._weigh(counts, states, nexts, seen, total, kinds, mu, start, end)
         return out
 
-    def _weigh(self, keys: list, counts: np.ndarray, pairs: list, seen: np.ndarray, total: int, kinds: int, mu: float, start, end) -> None:
-        unit = total + 0.5 * (kinds + 1)
-        self.start, self.end, self.unknown = start, end, float(np.log10(0.5 / unit))
-        shares = (counts + 0.5) / unit
-        self.root = dict(zip(keys, np.log10(shares).tolist(), strict=True))
-        # A text's start is as frequent as its end, which is no history itself.
-        history = dict(zip(keys, counts.tolist(), strict=True))
-        history[start] = history.pop(end, 0.0)
-        states = [u for u, c in history.items() if c]
-        self.fail = dict(zip(states, np.log10(mu / (np.array([history[u] for u in states]) + mu)).tolist(), strict=True))
-        share = dict(zip(keys, shares.tolist(), strict=True))
-        backed = np.array([share[w] for _, w in pairs])
-        self.arcs = dict(zip(pairs, np.log10((seen + mu * backed) / (np.array([history[u] for u, _ in pairs]) + mu)).tolist(), strict=True))
-
-    def traverse(self, words: Iterable) -> float:
-        """log10 probability of a text's words and its end."""
-        arcs, fail, root, unknown = self.arcs.get, self.fail, self.root.get, self.unknown
-        state, score = self.start if self.start in fail else None, 0.0
-        for w in (*words, self.end):
-            arc = arcs((state, w))
-            if arc is None:
-                arc = fail.get(state, 0.0) + root(w, unknown)
-            score += arc
-            state = w if w in fail else None
+    def _weigh(self, counts: np.ndarray, states: np.ndarray, nexts: np.ndarray, seen: np.ndarray, total: int, kinds: int, mu: float, start: int, end: int) -> None:
+        unit, n = total + 0.5 * (kinds + 1), len(counts)
+        self.start, self.end, self.width, self.unknown = start, end, n, float(np.log10(0.5 / unit))
+        share = (counts + 0.5) / unit
+        history = counts.astype(float)
+        history[start], history[end] = counts[end], 0  # a text's start is as frequent as its end, which is no history itself
+        some = seen > 0
+        u, w = states[some], nexts[some]
+        weight = np.log10((seen[some] + mu * share[w]) / (history[u] + mu))
+        self._arcs = dict(zip((u * n + w).tolist(), weight.tolist(), strict=True))
+        self._root = np.log10(share).tolist()
+        self._fail = [*np.where(history > 0, np.log10(mu / (history + mu)), 0.0).tolist(), 0.0]
+        self._to = np.where((history > 0) & (np.arange(n) != start), np.arange(n), n).tolist()
+
+    def follow(self, words: list[int]) -> float:
+        """log10 probability of numbered words, the end among them: one pass from left to right that carries the state."""
+        arcs, fail, root, to, width = self._arcs.get, self._fail, self._root, self._to, self.width
+        state, score = self.start, 0.0
+        for w in words:
+            arc = arcs(state * width + w)
+            score += fail[state] + root[w] if arc is None else arc
+            state = to[w]
         return score
 
+    def traverse(self, words: Iterable[bytes]) -> float:
+        """log10 probability of a text's words and its end."""
+        return self.follow([self.number.get(w, self.number[None]) for w in (*words, END)])
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
@@ -258,7 +264,7 @@ def _read(ranges: int, mu: float):
         ends = np.cumsum(b.lengths)
         first, n = ends - b.lengths, len(b.lengths)
         gather = lambda x: np.add.reduceat(x, first) if n else np.empty(0)
-        read = (auto.traverse(b.ids[i : j - 1].tolist()) for i, j in zip(first.tolist(), ends.tolist(), strict=True))
+        read = (auto.follow(b.ids[i:j].tolist()) for i, j in zip(first.tolist(), ends.tolist(), strict=True))
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": docs["held_out"], "n_tokens": pa.array(b.lengths, pa.int64()),
             "n_known": pa.array(gather((c1[b.ids] > 0).astype(np.int64)).astype(np.int64)), "train_tokens": pa.array(np.full(n, total, np.int64)),

@@ -80,7 +80,7 @@ def test_rows_of_questions_are_in_proportion_to_the_text(spark, monkeypatch):
         size = df.agg(F.sum(F.octet_length("text") + 1)).first()[0]
         m.score_texts(df, F.lit(False), block_bytes=3000, shard_bytes=500, fan=8)
         blocks = -(-(size + 1) // 3000)
-        assert max(counted) <= 8 * blocks and len(counted) <= math.ceil(math.log(size / 500, 8)) + 1
+        assert all(n <= 8 * 8**j * math.ceil(blocks / 8**j) for j, n in enumerate(counted)) and len(counted) == len(m.levels(-(-(size + 1) // 500), 8)) <= math.ceil(math.log(size / 500, 8)) + 1
         counted.clear()
 
 
