@@ -8,15 +8,21 @@ from tagloom import TagFrame
 from tagloom.errors import PatternError, RecipeError, TagsNotFoundError
 from tagloom.plans.recipe import from_recipe, from_spec
 
-BASE = [
-    ["Organisation", "Cluster", "District", "Affected"],
-    ["#org", "#sector+list", "#adm1", "#affected"],
-    ["NGO A", "WASH", "Coast", "200"],
-    ["NGO B", "Education", "Plains", "100"],
-    ["NGO B", "Education", "Coast", "300"],
-    ["NGO A", "Education, Protection", "Plains", "150"],
+STATIONS = [
+    ["Station", "Kind", "Zone", "Rain", "Checked by", "Checked"],
+    ["#station", "#kind", "#zone+name", "#rain", "#person", "#date"],
+    ["Alta", "valley", "North", "12.5", "Mo", "2021-03-04"],
+    ["Brun", "peak", "North", "40", "Lee", "2021-03-02"],
+    ["Cove", "coast", "South", "7", "Mo", "2021-02-27"],
+    ["Dell", "valley", "South", "19", "", "2021-03-04"],
+    ["Edge", "coast", "West", "33", "Lee", "2021-01-15"],
 ]
-A0, B1, B2, A3 = BASE[2:]
+ROWS = STATIONS[2:]
+
+
+def rows(letters):
+    """Rows of the stations with these first letters, in this order."""
+    return [next(r for r in ROWS if r[0][0] == c) for c in letters]
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +32,7 @@ def make(spark):
 
 @pytest.fixture(scope="module")
 def base(make):
-    return make(BASE)
+    return make(STATIONS)
 
 
 def values(frame):
@@ -36,151 +42,154 @@ def values(frame):
 @pytest.mark.parametrize(
     ("queries", "want"),
     [
-        ("org=NGO A", [A0, A3]), ("#org = ngo a", [A0, A3]), ("#org!=NGO A", [B1, B2]), ("#affected>150", [A0, B2]), ("#affected >= 150", [A0, B2, A3]),
-        ("#affected<150", [B1]), ("#affected<=150", [B1, A3]), ("#sector~^edu", [B1, B2, A3]), ("#sector!~protection$", [A0, B1, B2]),
-        (["#org=NGO A", "#affected=100"], [A0, B1, A3]), ("#nothing=x", []), ([], [A0, B1, B2, A3]), ("#affected is max", [B2]), ("#affected is not min", [A0, B2, A3]),
-        ("#adm1 is not empty", [A0, B1, B2, A3]), ("#affected is number", [A0, B1, B2, A3]), ("#org is number", []), ("#affected > {{ 100 + 60 }}", [A0, B2]),
+        ("kind=coast", "CE"), ("#kind = COAST", "CE"), ("#kind!=coast", "ABD"), ("#rain>19", "BE"), ("#rain>=19", "BDE"), ("#rain<12.5", "C"), ("#rain<=12.5", "AC"),
+        ("#station~[al]l", "AD"), ("#zone!~th$", "E"), (["#kind=peak", "#rain<10"], "BC"), ("#depth=1", ""), ([], "ABCDE"), ("#rain is max", "B"), ("#rain is not min", "ABDE"),
+        ("#person is empty", "D"), ("#person is not empty", "ABCE"), ("#rain is number", "ABCDE"), ("#kind is number", ""), ("#date is date", "ABCDE"), ("#date>=2021-03-01", "ABD"),
+        ("#rain > {{ 4 * 5 - 2 }}", "BDE"),
     ],
 )
 def test_with_and_without_rows(base, queries, want):
-    assert values(base.with_rows(queries)) == want
+    assert values(base.with_rows(queries)) == rows(want)
     if queries:
-        assert values(base.without_rows(queries)) == [r for r in BASE[2:] if r not in want]
+        assert values(base.without_rows(queries)) == [r for r in ROWS if r not in rows(want)]
 
 
 def test_masks_let_other_rows_pass(base):
-    assert values(base.with_rows("org=NGO A", mask="adm1=Coast")) == [A0, B1, A3]
-    assert values(base.without_rows("org=NGO A", mask="adm1=Coast")) == [B1, B2, A3]
+    assert values(base.with_rows("kind=valley", mask="zone=North")) == rows("ACDE")
+    assert values(base.without_rows("kind=valley", mask="zone=North")) == rows("BCDE")
 
 
 def test_any_matching_column_counts(make):
-    f = make([["#x", "#x"], ["a", "b"], ["b", "b"]])
-    assert values(f.with_rows("#x=a")) == [["a", "b"]]
-    assert len(values(f.with_rows("#x!=a"))) == 2
+    f = make([["#pet", "#pet"], ["cat", "dog"], ["dog", "dog"], ["cat", "cat"]])
+    assert values(f.with_rows("#pet=cat")) == [["cat", "dog"], ["cat", "cat"]]
+    assert len(values(f.with_rows("#pet!=cat"))) == 2
 
 
 def test_dates_are_compared_as_dates(make):
-    f = make([["#date"], ["Jan 1 2018"], ["2017-05-01"], ["never"]])
-    assert values(f.with_rows("#date>2017-12-31")) == [["Jan 1 2018"], ["never"]]  # text falls back to text
-    assert values(f.with_rows("#date=1/1/2018")) == [["Jan 1 2018"]]
-    assert values(f.with_rows("#date is date")) == [["Jan 1 2018"], ["2017-05-01"]]
+    f = make([["#date"], ["4 July 2020"], ["2019-12-31"], ["unknown"]])
+    assert values(f.with_rows("#date>2020-06-30")) == [["4 July 2020"], ["unknown"]]  # text falls back to text
+    assert values(f.with_rows("#date=4/7/2020")) == [["4 July 2020"]]
+    assert values(f.with_rows("#date is date")) == [["4 July 2020"], ["2019-12-31"]]
 
 
 def test_columns(base, make):
-    assert base.with_columns("#sector").display_tags == ["#sector+list"]
-    assert base.with_columns(["#adm1", "#org"]).display_tags == ["#org", "#adm1"]
-    assert base.without_columns("#sector").display_tags == ["#org", "#adm1", "#affected"]
-    f = make([["Col A", "Col B", "Col C"], ["#adm1", "", "#org"], ["Plains", "WASH", "UNICEF"]]).without_columns(skip_untagged=True)
-    assert (f.headers, f.display_tags, values(f)) == (["Col A", "Col C"], ["#adm1", "#org"], [["Plains", "UNICEF"]])
+    assert base.with_columns("#zone").display_tags == ["#zone+name"]
+    assert base.with_columns(["#rain", "#kind"]).display_tags == ["#kind", "#rain"]
+    assert base.without_columns("#zone,#person,#date").display_tags == ["#station", "#kind", "#rain"]
+    f = make([["One", "Two", "Three", "Four"], ["#one", "", "#three", ""], ["1", "2", "3", "4"]]).without_columns(skip_untagged=True)
+    assert (f.headers, f.display_tags, values(f)) == (["One", "Three"], ["#one", "#three"], [["1", "3"]])
 
 
 def test_add_columns(base):
-    f = base.add_columns("Report Date#date+report=2015-03-31")
-    assert f.headers[-1] == "Report Date" and f.display_tags[-1] == "#date+report" and values(f)[0][-1] == "2015-03-31"
-    f = base.add_columns([("#x", "v"), "Y#y={{#affected / 100}} {{#org}}!"], before=True)
-    assert f.display_tags[:2] == ["#x", "#y"] and values(f)[1][:2] == ["v", "1.0 NGO B!"]
+    f = base.add_columns("Network#network+name=Blue")
+    assert f.headers[-1] == "Network" and f.display_tags[-1] == "#network+name" and {r[-1] for r in values(f)} == {"Blue"}
+    f = base.add_columns([("#first", "v"), "Both#both={{#rain * 2}} {{#kind}}."], before=True)
+    assert f.display_tags[:2] == ["#first", "#both"] and values(f)[1][:2] == ["v", "80 peak."]
     assert values(base.add_columns("#z={{#missing}}"))[0][-1] == "None"
     with pytest.raises(PatternError):
         base.add_columns("no spec")
 
 
 def test_rename(base, make):
-    f = base.rename_columns("#sector:Sub-sector#subsector")
-    assert f.tags == ["#org", "#subsector", "#adm1", "#affected"] and f.headers[1] == "Sub-sector"
-    wide = make([["Province", "Women", "Men"], ["#adm1", "#affected+label", "#affected+label"], ["Coast", 200, 100]])
-    assert wide.rename_columns("Women#affected+label:Women#affected+f").display_tags == ["#adm1", "#affected+f", "#affected+label"]
+    f = base.rename_columns("#person:Keeper#keeper+name")
+    assert f.tags[4] == "#keeper" and f.headers[4] == "Keeper" and f.display_tags[4] == "#keeper+name"
+    twins = make([["Min", "Max", "Day"], ["#temp", "#temp", "#date"], ["1", "9", "2020"]])
+    assert twins.rename_columns("Max#temp:High#temp+max").headers == ["Min", "High", "Day"]
+    assert twins.rename_columns("Max#temp:High#temp+max").display_tags == ["#temp", "#temp+max", "#date"]
 
 
 def test_append(base, make):
-    other = [["Org", "Targeted", "Sector 1", "Sector 2"], ["#org", "#targeted", "#sector+list", "#sector+list"], ["NGO A", "200", "WASH", ""], ["NGO C", "500", "Health", "Food"]]
+    other = [["Zone", "Height", "Name", "Note", "Note"], ["#zone+name", "#height", "#station", "#note", "#note"], ["East", "310", "Fell", "old", "far"], ["North", "22", "Glen", "", "new"]]
     f = base.append(other)
-    assert f.headers == ["Organisation", "Cluster", "District", "Affected", "Targeted", "Sector 2"]
-    assert values(f) == [*([*r, "", ""] for r in BASE[2:]), ["NGO A", "WASH", "", "", "200", ""], ["NGO C", "Health", "", "", "500", "Food"]]
-    assert values(base.append(make(other), add_columns=False))[-1] == ["NGO C", "Health", "", ""]
-    assert values(base.append(other, queries="org=NGO C"))[4:] == [["NGO C", "Health", "", "", "500", "Food"]]
-    assert len(values(base.append([make(other), make(other)]))) == 8
+    assert f.headers == [*STATIONS[0], "Height", "Note", "Note"]
+    fell, glen = ["Fell", "", "East", "", "", "", "310", "old", "far"], ["Glen", "", "North", "", "", "", "22", "", "new"]
+    assert values(f) == [*([*r, "", "", ""] for r in ROWS), fell, glen]
+    assert values(base.append(make(other), add_columns=False))[-1] == glen[:6]
+    assert values(base.append(other, queries="zone=North"))[5:] == [glen]
+    assert len(values(base.append([make(other), make(other)]))) == 9
 
 
 def test_append_external_list(base, make, tmp_path):
     names = []
     for k in range(2):
         names.append(tmp_path / f"{k}.csv")
-        names[-1].write_text(f"#org,#extra\nNGO {k},x{k}\n")
+        names[-1].write_text(f"#station,#extra\nNew {k},x{k}\n")
     listed = make([["#x_source"], *([str(n)] for n in names)])
     with pytest.raises(OSError):
         base.append_external_list(listed)  # local files are not allowed unless asked for
     frames = [tagloom.data(str(n), tagloom.sources.readers.InputOptions(allow_local=True)) for n in names]
-    assert [r[0] for r in values(base.append(frames))[4:]] == ["NGO 0", "NGO 1"]
+    assert [r[0] for r in values(base.append(frames))[5:]] == ["New 0", "New 1"]
 
 
 def test_cache_and_limit(base):
     from tagloom.operators.rows import overflow
 
-    assert values(base.cache()) == BASE[2:]
-    assert values(base.sort("#affected", reverse=True).cache(2)) == [B2, A0]
-    assert overflow(base, 3) and not overflow(base, 4)
+    assert values(base.cache()) == ROWS
+    assert values(base.sort("#rain", reverse=True).cache(3)) == rows("BED")
+    assert overflow(base, 4) and not overflow(base, 5)
 
 
 def test_sort(base, make):
-    assert values(base.sort("#affected")) == [B1, A3, A0, B2]
-    assert values(base.sort("#org", reverse=True)) == [B1, B2, A0, A3]  # equal keys keep their order
-    assert values(make([["#x"], ["b"], ["10"], ["9"], ["A"], [""]]).sort()) == [["9"], ["10"], [""], ["A"], ["b"]]
-    assert values(make([["#date"], ["1 Mar 2016"], ["2015-02-01"], ["Feb 2016"]]).sort("#date")) == [["2015-02-01"], ["Feb 2016"], ["1 Mar 2016"]]
-    ragged = make([["#a", "#b"], ["2"], ["1", "x", "more"]])
-    assert values(ragged.sort()) == [["1", "x"], ["2", ""]]
+    assert values(base.sort("#rain")) == rows("CADEB") and values(base.sort(["#kind", "#rain"])) == rows("CEBAD")
+    assert values(base.sort("#zone", reverse=True)) == rows("ECDAB")  # equal keys keep their order
+    assert values(base.sort("#date")) == rows("ECBAD")
+    assert values(make([["#x"], ["pear"], ["30"], ["4"], ["Fig"], [""]]).sort()) == [["4"], ["30"], [""], ["Fig"], ["pear"]]
+    assert values(make([["#date"], ["5 May 2011"], ["2010-09-01"], ["May 2011"]]).sort("#date")) == [["2010-09-01"], ["May 2011"], ["5 May 2011"]]
+    ragged = make([["#a", "#b"], ["8"], ["3", "k", "more"]])
+    assert values(ragged.sort()) == [["3", "k"], ["8", ""]]
 
 
 def test_dedup(base, make):
-    doubled = make(BASE + BASE[2:])
-    assert values(doubled.dedup()) == BASE[2:]
-    assert values(doubled.dedup(queries="sector=Education")) == [A0, B1, B2, A3, A0, A3]
-    assert values(base.dedup("#org")) == [A0, B1]
-    assert values(make([["#x"], ["1"], ["1.0"], [" A "], ["a"]]).dedup()) == [["1"], [" A "]]
+    doubled = make(STATIONS + ROWS)
+    assert values(doubled.dedup()) == ROWS
+    assert values(doubled.dedup(queries="kind=coast")) == [*ROWS, *rows("ABD")]
+    assert values(base.dedup("#zone")) == rows("ACE") and values(base.dedup("#kind,#person")) == rows("ABCDE") and values(base.dedup("#person")) == rows("ABD")
+    assert values(make([["#x"], ["5"], ["5.0"], [" Yes "], ["yes"]]).dedup()) == [["5"], [" Yes "]]
     once = doubled.dedup()
     assert values(once.dedup()) == values(once)
 
 
 def test_count(base, make):
-    f = base.count("org", "count() as Total activities#output+activities")
-    assert (f.headers, f.display_tags) == (["Organisation", "Total activities"], ["#org", "#output+activities"])
-    assert values(f) == [["NGO A", "2"], ["NGO B", "2"]]
-    pick = lambda spec, by="org": [r[-1] for r in values(base.count(by, spec))]
-    assert pick("sum(#affected)") == ["350", "400"] and pick("average(#affected)") == ["175", "200"]
-    assert pick("min(#affected)") == ["150", "100"] and pick("max(#affected) as #m") == ["200", "300"]
-    assert pick("concat(#adm1) as Districts#adm1+list") == ["Coast|Plains"] * 2
-    assert values(base.count("#sector", queries="adm1=Coast")) == [["Education", "1"], ["WASH", "1"]]
-    assert values(base.count("#nothing")) == [["", "4"]] and values(base.with_rows("org=x").count()) == []
-    assert values(make([["#org"], ["XXX"], ["XXX "], ["YYY"]]).count("#org")) == [["XXX", "2"], ["YYY", "1"]]
-    mixed = make([["#affected"], ["1"], [2], ["N/A"]])
-    assert values(mixed.count(aggregators="min(#affected)")) == [["1"]] and values(mixed.count(aggregators="max(#affected)")) == [["N/A"]]
-    dates = make([["#event", "#date"], ["Flood", "2017-01-10 00:00:00"], ["Flood", "1 Jan 2018"], ["Flood", "06/30/2018"]])
-    assert values(dates.count("event", "min(#date)")) == [["Flood", "2017-01-10 00:00:00"]] and values(dates.count("event", "max(#date)")) == [["Flood", "06/30/2018"]]
+    f = base.count("kind", "count() as Stations#meta+count")
+    assert (f.headers, f.display_tags) == (["Kind", "Stations"], ["#kind", "#meta+count"])
+    assert values(f) == [["coast", "2"], ["peak", "1"], ["valley", "2"]]
+    pick = lambda spec, by="kind": [r[-1] for r in values(base.count(by, spec))]
+    assert pick("sum(#rain)") == ["40", "40", "31.5"] and pick("average(#rain)") == ["20", "40", "15.75"]
+    assert pick("min(#rain)") == ["7", "40", "12.5"] and pick("max(#rain) as #m") == ["33", "40", "19"]
+    assert pick("concat(#zone) as Zones#zone+list") == ["South|West", "North", "North|South"]
+    assert values(base.count("#kind", queries="zone=South")) == [["coast", "1"], ["valley", "1"]]
+    assert values(base.count("#nothing")) == [["", "5"]] and values(base.with_rows("kind=x").count()) == []
+    assert values(make([["#team"], ["red"], ["red "], ["blue"]]).count("#team")) == [["blue", "1"], ["red", "2"]]
+    mixed = make([["#n"], ["8"], [5], ["none"]])
+    assert values(mixed.count(aggregators="min(#n)")) == [["5"]] and values(mixed.count(aggregators="max(#n)")) == [["none"]]
+    dates = make([["#trip", "#date"], ["x", "2012-05-06 10:00:00"], ["x", "8 Aug 2013"], ["x", "11/30/2013"]])
+    assert values(dates.count("trip", "min(#date)")) == [["x", "2012-05-06 10:00:00"]] and values(dates.count("trip", "max(#date)")) == [["x", "11/30/2013"]]
     with pytest.raises(PatternError):
-        base.count("org", "sum()")
+        base.count("kind", "sum()")
 
 
 def test_extremes_and_value_set(base, make):
-    assert base.min("#affected").first()[0] == "100" and base.max("#org").first()[0] == "NGO B"
-    assert {r[0] for r in base.value_set("#org").collect()} == {"NGO A", "NGO B"}
-    assert {r[0] for r in make([["#x"], ["A"], [" a"]]).value_set("#x", normalise=True).collect()} == {"a"}
+    assert base.min("#rain").first()[0] == "7" and base.max("#station").first()[0] == "Edge"
+    assert {r[0] for r in base.value_set("#zone").collect()} == {"North", "South", "West"}
+    assert {r[0] for r in make([["#x"], ["Tea"], [" tea"]]).value_set("#x", normalise=True).collect()} == {"tea"}
 
 
 def test_merge(base, make):
-    codes = make([["District", "P-code"], ["#adm1", "#adm1+code"], ["coaST", "001"], ["   Pláins", "002"]])
-    f = base.merge_data(codes, "#adm1-code", "#adm1+code")
-    assert f.headers[-1] == "P-code" and [r[-1] for r in values(f)] == ["001", "002", "001", "002"]
-    more = make([["#adm1+code", "#population"], ["001", "10000"], ["002", ""]])
-    assert [r[-1] for r in values(f.merge_data(more, "#adm1+code", "#population"))] == ["10000", "", "10000", ""]
-    rows = make([["#adm1", "#adm1+code", "#foo"], ["Coast", "003", "hack"], ["Coast", "001", "bar"], ["Plains", "002", "hack"]])
-    assert [r[-1] for r in values(base.merge_data(rows, "adm1-code", "adm1+code", queries="foo=hack"))] == ["003", "002", "003", "002"]
-    assert [r[-1] for r in values(base.merge_data(rows, "adm1-code", "adm1+code"))] == ["001", "002", "001", "002"]  # the last row counts
+    zones = make([["Zone", "Number"], ["#zone+name", "#zone+number"], ["NORTH", "10"], [" Sóuth", "20"]])
+    f = base.merge_data(zones, "#zone+name", "#zone+number")
+    assert f.headers[-1] == "Number" and [r[-1] for r in values(f)] == ["10", "10", "20", "20", ""]
+    areas = make([["#zone+number", "#area"], ["20", "5 km2"], ["10", ""]])
+    assert [r[-1] for r in values(f.merge_data(areas, "#zone+number", "#area"))] == ["", "", "5 km2", "5 km2", ""]
+    twice = make([["#zone+name", "#chief", "#year"], ["West", "Ann", "1"], ["West", "Bo", "2"], ["North", "Cy", "1"]])
+    assert [r[-1] for r in values(base.merge_data(twice, "zone", "chief"))] == ["Cy", "Cy", "", "", "Bo"]  # the last row counts
+    assert [r[-1] for r in values(base.merge_data(twice, "zone", "chief", queries="year=1"))] == ["Cy", "Cy", "", "", "Ann"]
 
 
 def test_merge_tries_every_candidate(make):
-    orgs = make([["#org+name", "#org+code"], ["XX", "YY"], ["Red Cross", "IFRC"]])
-    for first in ("", "xxx"):
-        f = make([["#sector+list", "#org+name", "#org+name"], ["Health", first, "Red Cross"]])
-        assert values(f.merge_data(orgs, "#org+name", "#org+code")) == [["Health", first, "Red Cross", "IFRC"]]
+    prices = make([["#fruit", "#price"], ["plum", "3"], ["lime", "4"]])
+    for first in ("", "mud"):
+        f = make([["#box", "#fruit", "#fruit"], ["1", first, "lime"]])
+        assert values(f.merge_data(prices, "#fruit", "#price")) == [["1", first, "lime", "4"]]
 
 
 def test_merge_replace(make):
@@ -191,108 +200,109 @@ def test_merge_replace(make):
 
 
 def test_clean(make, base):
-    column = lambda rows, **o: [r[0] for r in values(make([["#date" if "date" in o else "#x"], *([r] for r in rows)]).clean_data(**o))]
-    assert column(["  WASH", "Education  ", "Child    Protection"], whitespace="x") == ["WASH", "Education", "Child Protection"]
-    numbers = ["  200", "1,100 ", 300, "1.7E5"]
-    assert column(numbers, number="x") == ["200", "1100", "300", "170000"]
-    assert column(numbers, number="x", number_format="0.2f") == ["200.00", "1100.00", "300.00", "170000.00"]
-    dates = ["January 1 2015", "2/2/15", "1 Mar/15"]
-    assert column(dates, date="date") == ["2015-01-01", "2015-02-02", "2015-03-01"]
-    assert column(dates, date="date", date_format="%Y-W%V") == ["2015-W01", "2015-W06", "2015-W09"]
-    assert column(["11-14-15", "13-11-15", "11-17-15", "09-11-15"], date="date") == ["2015-11-14", "2015-11-13", "2015-11-17", "2015-09-11"]
-    assert column(["14-11-15", "11-13-15", "17-11-15", "09-11-15"], date="date") == ["2015-11-14", "2015-11-13", "2015-11-17", "2015-11-09"]
-    assert column(["1582502400000"], date="date") == ["2020-02-24"]
-    assert [r[1] for r in values(base.clean_data(upper="sector"))] == ["WASH", "EDUCATION", "EDUCATION", "EDUCATION, PROTECTION"]
-    assert [r[1] for r in values(base.clean_data(lower="sector", queries="adm1=Plains"))] == ["WASH", "education", "Education", "education, protection"]
-    places = make([["#foo", "#geo+lat", "#geo+lon", "#geo+coord"], ["75W 30 00", "45N 30 00", "75W 30 00", "45N 30 00,75W 30 00"]])
-    assert values(places.clean_data(latlon="geo")) == [["75W 30 00", "45.5000", "-75.5000", "45.5000,-75.5000"]]
-    mixed = make([["#date", "#affected", "#geo+lat", "#geo+lon"], ["1/Mar/2017", "bad", "45N30", "bad"], ["bad", "2,000", "bad", "75W30"]])
-    options = {"date": "date", "number": "affected", "latlon": "geo"}
-    assert values(mixed.clean_data(**options)) == [["2017-03-01", "bad", "45.5000", "bad"], ["bad", "2000", "bad", "-75.5000"]]
-    assert values(mixed.clean_data(**options, purge=True)) == [["2017-03-01", "", "45.5000", ""], ["", "2000", "", "-75.5000"]]
+    column = lambda cells, **o: [r[0] for r in values(make([["#date" if "date" in o else "#x"], *([r] for r in cells)]).clean_data(**o))]
+    assert column(["  tea", "milk  ", "ice    cream"], whitespace="x") == ["tea", "milk", "ice cream"]
+    numbers = ["  85", "2,040 ", 7, "3.2E4"]
+    assert column(numbers, number="x") == ["85", "2040", "7", "32000"]
+    assert column(numbers, number="x", number_format="0.1f") == ["85.0", "2040.0", "7.0", "32000.0"]
+    dates = ["May 9 2012", "3/4/12", "6 Jul/12", "2012-11-30"]
+    assert column(dates, date="date") == ["2012-05-09", "2012-04-03", "2012-07-06", "2012-11-30"]
+    assert column(dates, date="date", date_format="%d.%m.%Y") == ["09.05.2012", "03.04.2012", "06.07.2012", "30.11.2012"]
+    assert column(["10-25-13", "28-10-13", "10-30-13", "04-05-13"], date="date") == ["2013-10-25", "2013-10-28", "2013-10-30", "2013-04-05"]  # mostly months first
+    assert column(["25-10-13", "10-28-13", "30-10-13", "04-05-13"], date="date") == ["2013-10-25", "2013-10-28", "2013-10-30", "2013-05-04"]
+    assert column(["1357000000000"], date="date") == ["2013-01-01"]
+    assert [r[1] for r in values(base.clean_data(upper="kind"))] == ["VALLEY", "PEAK", "COAST", "VALLEY", "COAST"]
+    assert [r[2] for r in values(base.clean_data(lower="zone", queries="kind=coast"))] == ["North", "North", "south", "South", "west"]
+    places = make([["#x", "#geo+lat", "#geo+lon", "#geo+coord"], ["12E 15 00", "60N 15 00", "12E 15 00", "60N 15 00,12E 15 00"]])
+    assert values(places.clean_data(latlon="geo")) == [["12E 15 00", "60.2500", "12.2500", "60.2500,12.2500"]]
+    mixed = make([["#date", "#rain", "#geo+lat", "#geo+lon"], ["8/Oct/2019", "lots", "60N15", "here"], ["once", "4,500", "there", "12E15"]])
+    options = {"date": "date", "number": "rain", "latlon": "geo"}
+    assert values(mixed.clean_data(**options)) == [["2019-10-08", "lots", "60.2500", "here"], ["once", "4500", "there", "12.2500"]]
+    assert values(mixed.clean_data(**options, purge=True)) == [["2019-10-08", "", "60.2500", ""], ["", "4500", "", "12.2500"]]
 
 
 @pytest.mark.parametrize(
     ("args", "want"),
     [
-        (("Plains", "Plains District", "#adm1"), "Plains District"), (("Plains", "", "#adm1"), ""), (("^.+$", None, "#adm1", True), ""),
-        (("Plains", "Plains District", "#adm1,#adm2"), "Plains District"), (("Plains", "Plains District", "#org"), "Plains"), (("  PLainS   ", "Plains District"), "Plains District"),
-        (("ains$", "x", "#adm1"), "Plains"), (("ains$", "ains District", "#adm1", True), "Plains District"), (("^ains", "x", "#adm1", True), "Plains"), (("(ains)$", r"\1 $", "#adm1", True), "Plains $"),
+        (("peak", "summit", "#kind"), "summit"), (("peak", "", "#kind"), ""), (("p.*k", None, "#kind", True), ""), (("peak", "summit", "#kind,#depth"), "summit"),
+        (("peak", "summit", "#zone"), "peak"), (("  PEAK ", "summit"), "summit"), (("eak", "x", "#kind"), "peak"), (("eak$", "ony", "#kind", True), "pony"),
+        (("^eak", "x", "#kind", True), "peak"), (("(p)(e)", r"\2\1 $", "#kind", True), "ep $ak"),
     ],
 )
 def test_replace(base, args, want):
-    assert values(base.replace_data(*args))[1][2] == want
+    assert values(base.replace_data(*args))[1][1] == want
 
 
 def test_replace_map_and_queries(base, make, monkeypatch):
-    rules = make([["#x_pattern", "#x_substitution", "#x_tag", "#x_regex"], ["NGO B", "NGO Bravo", "org", ""], ["^.*$", "Other", "org", "True"]])
-    assert [r[:2] for r in values(base.replace_data_map(rules))][:2] == [["Other", "WASH"], ["NGO Bravo", "Education"]]
-    assert [r[2] for r in values(base.replace_data("Coast", "Coastal", "#adm1", queries="org=NGO A"))] == ["Coastal", "Plains", "Coast", "Plains"]
-    literal = make([["#x_pattern", "#x_substitution", "#x_tag"], ["ngo b", "NGO Bravo", "org"], ["coast", "Shore", ""]])
+    rules = make([["#x_pattern", "#x_substitution", "#x_tag", "#x_regex"], ["lee", "Leander", "person", ""], ["^M", "Mr M", "person", "yes"]])
+    assert [r[4] for r in values(base.replace_data_map(rules))] == ["Mr Mo", "Leander", "Mr Mo", "", "Leander"]
+    assert [r[2] for r in values(base.replace_data("South", "Low", "#zone", queries="kind=coast"))] == ["North", "North", "Low", "South", "West"]
+    literal = make([["#x_pattern", "#x_substitution", "#x_tag"], ["LEE", "Leander", "person"], ["south", "Low", ""]])
     want = values(base.replace_data_map(literal))
     monkeypatch.setattr("tagloom.operators.cells.MANY_RULES", 1)  # long maps are joined
-    assert values(base.replace_data_map(literal)) == want and want[2][0] == "NGO Bravo" and want[0][2] == "Shore"
+    assert values(base.replace_data_map(literal)) == want and want[1][4] == "Leander" and want[2][2] == "Low"
 
 
 def test_jsonpath(make):
-    f = make([["#xxx"], ['{"a": {"x": 1, "y": 2}, "b": [1, 2, 3]}'], ["bad json"]])
+    f = make([["#j"], ['{"size": {"w": 3, "h": 5}, "tags": ["u", "v"]}'], ["not json"]])
     first = lambda path, **o: values(f.jsonpath(path, **o))[0][0]
-    assert first("a.x") == "1" and first("b[1]") == "2" and first("no.match") == "" and first("$.a") == '{"x": 1, "y": 2}'
-    assert first("b[*]") == "[1, 2, 3]" and first("b[*]", use_json=False) == "1 | 2 | 3" and first("$.a.y", native=True) == "2"
-    assert values(f.jsonpath("a.x"))[1][0] == values(f.jsonpath("$.a.x", native=True))[1][0] == "bad json"
-    assert values(make([["#x"], ['[{"a": 1, "b": 2}, {"a": 3, "b": 4}]']]).jsonpath("$[?(@.a=1)].b")) == [["2"]]
+    assert first("size.h") == "5" and first("tags[1]") == "v" and first("size.d") == "" and first("$.size") == '{"w": 3, "h": 5}'
+    assert first("tags[*]") == '["u", "v"]' and first("tags[*]", use_json=False) == "u | v" and first("$.size.w", native=True) == "3"
+    assert values(f.jsonpath("size.w"))[1][0] == values(f.jsonpath("$.size.w", native=True))[1][0] == "not json"
+    assert values(make([["#j"], ['[{"k": 1, "v": 10}, {"k": 2, "v": 20}]']]).jsonpath("$[?(@.k=2)].v")) == [["20"]]
     with pytest.raises(ValueError):
         f.jsonpath("a b c")
 
 
 def test_explode_and_implode(make):
-    wide = make([["Province", "Date", "Girls", "Boys"], ["#adm1", "#date", "#affected+num+label", "#affected+label+num"], ["Coast", "2016", "200", "150"], ["Plains", "2016", "300", "450"]])
+    wide = make([["Shop", "Mon", "Tue", "Wed"], ["#shop", "#sales+label", "#sales+label", "#sales+label"], ["A", "5", "6", "7"], ["B", "1", "", "3"]])
     long = wide.explode()
-    assert long.display_tags == ["#adm1", "#date", "#affected+num+header", "#affected+num+value"]
-    assert values(long) == [["Coast", "2016", "Girls", "200"], ["Coast", "2016", "Boys", "150"], ["Plains", "2016", "Girls", "300"], ["Plains", "2016", "Boys", "450"]]
-    assert wide.explode("foo", "bar").display_tags[2:] == ["#affected+num+foo", "#affected+num+bar"]
-    back = long.implode("#affected+header", "#affected+value")
-    assert back.headers == ["Province", "Date", "Boys", "Girls"] and values(back) == [["Coast", "2016", "150", "200"], ["Plains", "2016", "450", "300"]]
-    simple = make([["#adm1", "#group", "#affected"], ["Coast", "b", "1"], ["Plains", "a", "2"], ["Coast", "b", "3"]]).implode("#group", "#affected")
-    assert simple.display_tags == ["#adm1", "#affected+label", "#affected+label"] and values(simple) == [["Coast", "", "1"], ["Plains", "2", ""]]
+    assert long.display_tags == ["#shop", "#sales+header", "#sales+value"]
+    assert values(long) == [["A", "Mon", "5"], ["A", "Tue", "6"], ["A", "Wed", "7"], ["B", "Mon", "1"], ["B", "Tue", ""], ["B", "Wed", "3"]]
+    assert wide.explode("day", "sum").display_tags[1:] == ["#sales+day", "#sales+sum"]
+    back = long.implode("#sales+header", "#sales+value")
+    assert back.headers == ["Shop", "Mon", "Tue", "Wed"] and values(back) == [["A", "5", "6", "7"], ["B", "1", "", "3"]]
+    simple = make([["#shop", "#day", "#sales"], ["A", "Tue", "1"], ["B", "Mon", "2"], ["A", "Tue", "9"]]).implode("#day", "#sales")
+    assert simple.display_tags == ["#shop", "#sales+label", "#sales+label"] and values(simple) == [["A", "", "1"], ["B", "2", ""]]
     with pytest.raises(PatternError):
-        wide.implode("#group", "#affected")
-    two = make([["A", "B", "C", "D"], ["#x+label", "#x+label", "#y+label", "#y+label"], ["1", "2", "3", "4"]]).explode()
-    assert [r for r in values(two)] == [["A", "1", "C", "3"], ["A", "1", "D", "4"], ["B", "2", "C", "3"], ["B", "2", "D", "4"]]
+        wide.implode("#day", "#sales")
+    two = make([["P", "Q", "R", "S"], ["#in+label", "#in+label", "#out+label", "#out+label"], ["1", "2", "3", "4"]]).explode()
+    assert values(two) == [["P", "1", "R", "3"], ["P", "1", "S", "4"], ["Q", "2", "R", "3"], ["Q", "2", "S", "4"]]
 
 
 def test_expand_lists(make):
-    f = make([["#adm1", "#org+name+list", "#sector+cluster+list"], ["Coast", "A| B ", "x|y"], ["Plains", "C", "z|x"]])
-    assert f.expand_lists().display_tags == ["#adm1", "#org+name", "#sector+cluster"]
-    assert values(f.expand_lists())[:4] == [["Coast", "A", "x"], ["Coast", "A", "y"], ["Coast", "B", "x"], ["Coast", "B", "y"]]
-    assert values(f.expand_lists(correlate=True)) == [["Coast", "A", "x"], ["Coast", "B", "y"], ["Plains", "C", "z"], ["Plains", "", "x"]]
-    assert values(f.expand_lists("#org", queries="adm1=Plains")) == [["Coast", "A| B ", "x|y"], ["Plains", "C", "z|x"]]
-    assert values(make([["#x+list"], ["a;b"]]).expand_lists(separator=";")) == [["a"], ["b"]]
+    f = make([["#shop", "#fruit+list", "#price+list"], ["A", "fig| plum ", "3|4"], ["B", "lime", "5|6"]])
+    assert f.expand_lists().display_tags == ["#shop", "#fruit", "#price"]
+    assert values(f.expand_lists())[:4] == [["A", "fig", "3"], ["A", "fig", "4"], ["A", "plum", "3"], ["A", "plum", "4"]]
+    assert values(f.expand_lists(correlate=True)) == [["A", "fig", "3"], ["A", "plum", "4"], ["B", "lime", "5"], ["B", "", "6"]]
+    assert values(f.expand_lists("#fruit", queries="shop=B")) == [["A", "fig| plum ", "3|4"], ["B", "lime", "5|6"]]
+    assert values(make([["#x+list"], ["k;m"]]).expand_lists(separator=";")) == [["k"], ["m"]]
 
 
 def test_fill(make, monkeypatch):
-    f = make([["#org", "#adm1"], ["A", "x"], ["", "y"], ["", ""], ["B", ""], ["", "z"]])
-    want = [["A", "x"], ["A", "y"], ["A", "y"], ["B", "y"], ["B", "z"]]
+    f = make([["#row", "#seat"], ["1", "a"], ["", "b"], ["", ""], ["2", ""], ["", "c"]])
+    want = [["1", "a"], ["1", "b"], ["1", "b"], ["2", "b"], ["2", "c"]]
     assert values(f.fill_data()) == want
-    assert [r[0] for r in values(f.fill_data("#org", queries="adm1=z"))] == ["A", "", "", "B", "B"]
+    assert [r[0] for r in values(f.fill_data("#row", queries="seat=c"))] == ["1", "", "", "2", "2"]
     monkeypatch.setattr("tagloom.operators.rows.BLOCK", 2)  # many blocks
     assert values(f.fill_data()) == want
-    assert values(f.sort("#adm1").fill_data("#org"))[0] == ["", ""]  # an order without a whole number
+    assert values(f.sort("#seat").fill_data("#row"))[0] == ["", ""]  # an order without a whole number
 
 
 def test_row_counter(base):
-    for queries, n in ((None, 4), ("org=NGO B", 2)):
+    for queries, n in ((None, 5), ("kind=valley", 2)):
         counter = base.row_counter(queries)
-        assert values(counter.frame) == BASE[2:] and counter.row_count == n
+        assert values(counter.frame) == ROWS and counter.row_count == n
 
 
 def test_recipes(base, spark):
-    steps = [{"filter": "with_rows", "queries": "org=NGO A"}, {"filter": "sort", "keys": "#affected"}, {"filter": "add_columns", "specs": ["#x=1"]}, {"filter": "cache"}]
-    assert values(from_recipe(base, steps)) == [[*A3, "1"], [*A0, "1"]]
-    spec = {"input": BASE, "recipe": [{"filter": "append", "append_sources": [{"input": BASE, "recipe": {"filter": "with_rows", "queries": "org=NGO B"}}]}, {"filter": "count", "patterns": "org"}]}
-    assert values(from_spec(spec)) == [["NGO A", "2"], ["NGO B", "4"]]
-    tagged = from_spec({"input": [["Org name", "n"], ["X", "1"]], "tagger": {"specs": {"org": "#org"}, "default_tag": "#num"}})
-    assert tagged.display_tags == ["#org", "#num"]
+    steps = [{"filter": "with_rows", "queries": "kind=coast"}, {"filter": "sort", "keys": "#rain", "reverse": True}, {"filter": "add_columns", "specs": ["#x=1"]}, {"filter": "cache"}]
+    assert values(from_recipe(base, steps)) == [[*r, "1"] for r in rows("EC")]
+    more = {"input": STATIONS, "recipe": {"filter": "with_rows", "queries": "kind=peak"}}
+    spec = {"input": STATIONS, "recipe": [{"filter": "append", "append_sources": [more]}, {"filter": "count", "patterns": "kind"}]}
+    assert values(from_spec(spec)) == [["coast", "2"], ["peak", "2"], ["valley", "2"]]
+    tagged = from_spec({"input": [["Pet name", "n"], ["X", "1"]], "tagger": {"specs": {"pet": "#pet"}, "default_tag": "#num"}})
+    assert tagged.display_tags == ["#pet", "#num"]
     for bad in ({"filter": "no such"}, {"filter": "with_columns"}, {"filter": "with_rows", "queries": None}):
         with pytest.raises(RecipeError):
             from_recipe(base, bad)
