@@ -18,8 +18,8 @@ ISO = re.compile(r"([12]\d{3})(?:Q([1-4])|W(\d\d?)|-(\d\d?)(?:-(\d\d?))?)?", re.
 SQL = re.compile(r"([12]\d{3})-(\d\d?)-(\d\d?) \d\d?:\d\d?:\d\d?")
 #: Whole numbers from FIRST_DAY are days, and above FIRST_SECOND seconds, since 1970.
 FIRST_DAY, FIRST_SECOND = 2200, 100_000
-#: Two defaults that differ in all parts show which parts a text lacks.
-DEFAULTS = (datetime(2015, 1, 1), datetime(2016, 3, 3))
+#: Two defaults that differ in all parts show which parts a text lacks: common years, long months, early days.
+DEFAULTS = (datetime(2013, 7, 2), datetime(2018, 10, 5))
 LONGEST_MONTHS = (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
 
 
@@ -84,8 +84,10 @@ def _parser(dayfirst: bool):
 
 
 def norm_date(c: Column, t: T.DataType, dayfirst: bool = True) -> Column:
-    """The cell as ISO date text, or null. Native dates and times need no Python; other text goes through one Arrow batch at a time, each different value once."""
+    """The cell as ISO date text, or null. Native dates and times, and text that is a plain ISO date or SQL timestamp, need no Python; other text goes through one Arrow batch at a time, each different value once."""
     if is_time_type(t):
         return F.date_format(c, "yyyy-MM-dd")
-    text = c.cast("string") if is_text(t) else c.cast("string")
-    return _parser(dayfirst)(text)
+    text = c.cast("string")
+    day = F.substr(text, F.lit(1), F.lit(10))
+    plain = text.rlike(r"^[12]\d{3}-\d\d-\d\d(?: \d\d:\d\d:\d\d)?$") & F.try_to_date(day).isNotNull()
+    return F.when(plain, day).otherwise(_parser(dayfirst)(F.when(plain, F.lit(None)).otherwise(text)))

@@ -32,7 +32,7 @@ from .workbook import read_sheet, sheets
 
 #: Delimiters tried, bytes looked at for them, rows looked at for hashtags.
 DELIMITERS, SNIFF_BYTES, HEAD_ROWS = ",\t;:|", 16384, 25
-TEXT_TYPES = ("", ".csv", ".tsv", ".ssv", ".txt", ".hxl", ".text")
+TEXT_TYPES = ("", ".csv", ".tsv", ".ssv", ".txt", ".text")
 
 
 @dataclass(frozen=True)
@@ -229,23 +229,32 @@ def json_rows(value: object, selector: str | None = None) -> list[list[object]]:
     raise SourceError("no table in the JSON data")
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8") -> TagFrame:
-    """A large CSV file or folder on any file system that Spark reads. Only its first rows come to the driver; cells are text."""
-    head = spark.read.option("encoding", encoding).text(path).limit(HEAD_ROWS).collect()
-    sep = sep or sniff_delimiter("\n".join(r[0] or "" for r in head))
-    rows = list(csv.reader((r[0] or "" for r in head), delimiter=sep))
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> TagFrame:
+    """Large CSV, a file or a folder of files that each begin with the same hashtags, on any file system that Spark reads.
+
+    Only the first rows of one file come to the driver; cells are text. multi_line: whether quoted cells may hold line
+    breaks; without, large files are split among tasks. Rows are ordered by file and place in it. Rows up to the first
+    row of hashtags go in each file; a file without such a row keeps all of its rows.
+    """
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.col("_metadata.file_path").alias("file")).limit(HEAD_ROWS).collect()
+    head = [r.value or "" for r in lines if r.file == lines[0].file]
+    sep = sep or sniff_delimiter("\n".join(head))
+    rows = list(csv.reader(head, delimiter=sep))
     at, columns = next(((i, c) for i, r in enumerate(rows) if (c := tags_of(r, rows[i - 1] if i else None))), (None, None))
     if columns is None:
         raise TagsNotFoundError(f"no row of hashtags in the first {HEAD_ROWS} rows of {path}")
-    schema = ", ".join(f"c{i} string" for i in range(len(columns)))
-    df = spark.read.csv(path, sep=sep, schema=schema, header=False, multiLine=True, escape='"', encoding=encoding)
-    text = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(columns))]
-    place = order_name()
-    df = df.select(*text, F.monotonically_increasing_id().alias(place))
-    # Rows up to the hashtags are few and first in their file.
-    skip = [tuple(c.strip() for c in (*r, *[""] * len(columns)))[: len(columns)] for r in rows[: at + 1]]
-    head_row = F.struct(*(F.trim(f"c{i}") for i in range(len(columns)))).isin([F.struct(*(F.lit(c) for c in r)) for r in skip])
-    return TagFrame(tuple(columns), df.where(~(head_row & (F.col(place) <= at))), ((place, True),))
+    names = [f"c{i}" for i in range(len(columns))]
+    df = spark.read.csv(path, sep=sep, schema=", ".join(f"{n} string" for n in names), header=False, multiLine=multi_line, escape='"', encoding=encoding)
+    file, start, place = (order_name() for _ in range(3))
+    # Rows of a block are numbered in order; the first block of a file has its head.
+    df = df.select(
+        *(F.coalesce(F.col(n), F.lit("")).alias(n) for n in names), F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(start), F.monotonically_increasing_id().alias(place)
+    )
+    tags = [c.strip() for c in (*rows[at], *[""] * len(columns))][: len(columns)]
+    is_tags = (F.col(start) == 0) & F.forall(F.array(*(F.trim(n) == t for n, t in zip(names, tags, strict=True))), lambda x: x)
+    heads = df.where(is_tags).groupBy(F.col(file).alias("_f")).agg(F.min(place).alias("_at"))  # a row a file
+    kept = df.join(heads, F.col(file) == F.col("_f"), "left").where(F.col("_at").isNull() | (F.col(start) > 0) | (F.col(place) > F.col("_at"))).drop("_f", "_at")
+    return TagFrame(tuple(columns), kept, ((file, True), (start, True), (place, True)))
 
 
 def info(source, options: InputOptions | None = None) -> list[dict[str, object]]:

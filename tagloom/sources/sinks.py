@@ -49,12 +49,16 @@ def json_lines(frame: TagFrame, show_headers: bool = True, show_tags: bool = Tru
 
 
 def write_csv(frame: TagFrame, path: str) -> None:
-    """Large output: a folder of CSV parts in the frame's order, the first part headed by headers and hashtags."""
-    df = frame.ordered().select(*(t.alias(f"c{i}") for i, t in enumerate(frame.texts())))
-    spark = frame.df.sparkSession
-    heads = [r for r in ((frame.headers if frame.has_headers else None), frame.display_tags) if r]
-    df.write.csv(path, escape='"', emptyValue="")
-    spark.createDataFrame(heads, df.schema).coalesce(1).write.mode("append").csv(f"{path}/_head", escape='"', emptyValue="")
+    """Large output: a folder of CSV parts in the frame's order, each headed by headers and hashtags, so that every part is a table of its own and read_csv() reads them all."""
+    df = frame.ordered().select(F.array(*frame.texts()).alias("row"))
+    heads = [F.array(*map(F.lit, r)) for r in ((frame.headers if frame.has_headers else None), frame.display_tags) if r]
+    if df.isEmpty():
+        headed = frame.df.sparkSession.range(1).coalesce(1).select(F.explode(F.array(*heads)).alias("row"))
+    else:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of a partition
+        headed = df.select(F.explode(F.when(first, F.array(*heads, F.col("row"))).otherwise(F.array(F.col("row")))).alias("row"))
+    cells = [F.get("row", F.lit(i)).alias(f"c{i}") for i in range(len(frame.columns))]
+    headed.select(*cells).write.csv(path, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_parquet(frame: TagFrame, path: str, mode: str = "error") -> None:

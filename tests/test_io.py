@@ -117,8 +117,34 @@ def test_sinks(spark, tmp_path):
     sinks.write_parquet(f, str(tmp_path / "p"))
     back = sinks.read_parquet(spark, str(tmp_path / "p"))
     assert back.display_tags == f.display_tags and back.headers == f.headers and back.collect() == f.collect()
-    sinks.write_csv(f, str(tmp_path / "c"))
-    assert spark.read.csv(str(tmp_path / "c")).collect()[0][0] == "A, B" and spark.read.csv(str(tmp_path / "c" / "_head")).count() == 2
+
+
+def test_csv_round_trip(spark, tmp_path):
+    rows = [["Name", "", "Note"], ["#name", "", "#note+x"], *([f"n{i}", " lead", ["", 'say "hi"', "a,b", "two\nlines", " "][i % 5]] for i in range(40))]
+    f = TagFrame.from_rows(spark, rows)
+    parts = f.with_df(f.df.repartition(3))
+    for k, frame in enumerate((f, parts, f.sort("#name", reverse=True))):
+        sinks.write_csv(frame, str(tmp_path / f"c{k}"))
+        back = readers.read_csv(spark, str(tmp_path / f"c{k}"))
+        assert (back.headers, back.display_tags) == (f.headers, f.display_tags) and back.collect() == frame.collect()
+    none = f.with_rows("#name=nobody")
+    sinks.write_csv(none, str(tmp_path / "none"))
+    assert readers.read_csv(spark, str(tmp_path / "none")).collect() == [] and readers.read_csv(spark, str(tmp_path / "none")).display_tags == f.display_tags
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_folder(spark, tmp_path, multi_line):
+    """Heads of different lengths, a row that looks like a header, and files larger than a split."""
+    for k, head in enumerate(("Name,Size\n#name,#size\n", "#name,#size\n", "a title\n\nName,Size\n#name, #size\n")):
+        (tmp_path / f"{k}.csv").write_text(head + "".join(f"f{k} r{i},{i}\n" for i in range(200)) + "Name,Size\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        f = readers.read_csv(spark, str(tmp_path), multi_line=multi_line)
+        assert f.collect() == [r for k in range(3) for r in [*([f"f{k} r{i}", str(i)] for i in range(200)), ["Name", "Size"]]]
+        assert f.df.rdd.getNumPartitions() > 3 or multi_line
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def run(*args):
