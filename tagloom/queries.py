@@ -331,6 +331,282 @@ def v_schema(f, spark, _):
     return f.validate(rules).issues.agg(F.count(F.lit(1)).alias("n"))
 
 
+def _derived(spark: SparkSession, sf_dir: str, table: str, columns: dict[str, str], tags: dict[str, str]) -> TagFrame:
+    """Columns made from a sample table by Spark SQL expressions, tagged; rows in order of the first."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*(F.expr(e).alias(n) for n, e in columns.items()), F.expr(next(iter(columns.values()))).alias("_row"))
+    return tag(df, tags, match_all=True, order_by=["_row"])
+
+
+#: Customers with a blank for the segment BUILDING, and 1 in 50 segments with a letter lost.
+_BLANKED = {"id": "c_custkey", "nation": "c_nationkey", "seg": "if(c_mktsegment = 'BUILDING', '', c_mktsegment)"}
+_TYPOS = {"id": "c_custkey", "seg": "if(c_custkey % 150 = 7, 'MACHINRY', c_mktsegment)"}
+_SEGMENTS = {"id": "#contact+id", "nation": "#country+code", "seg": "#sector"}
+
+
+@query("nation", "SELECT c_custkey AS id,CASE WHEN c_mktsegment='BUILDING' THEN n_name ELSE c_mktsegment END AS seg FROM customer JOIN nation ON n_nationkey=c_nationkey")
+def merge_replace(f, spark, sf_dir):
+    left = _derived(spark, sf_dir, "customer", _BLANKED, _SEGMENTS)
+    return left.merge_data(f.rename_columns("#country+name:#sector"), "#country+code", "#sector", replace=True).with_columns("#contact,#sector").to_df("id", "seg")
+
+
+@query("nation", "SELECT c_custkey AS id,coalesce(n_name,c_mktsegment) AS seg FROM customer LEFT JOIN nation ON n_nationkey=c_nationkey AND n_regionkey>1")
+def merge_overwrite(f, spark, sf_dir):
+    left = read(spark, sf_dir, "customer").with_columns("#contact+id,#country,#sector")
+    right = f.with_rows("#region+code>1").rename_columns("#country+name:#sector")
+    return left.merge_data(right, "#country+code", "#sector", replace=True, overwrite=True).with_columns("#contact,#sector").to_df("id", "seg")
+
+
+@query("nation", "SELECT s_suppkey AS id,coalesce(b.n_name,a.n_name,'') AS nation FROM supplier LEFT JOIN nation a ON a.n_nationkey=s_suppkey LEFT JOIN nation b ON b.n_nationkey=s_nationkey")
+def merge_candidates(f, spark, sf_dir):
+    """Two columns match the key: the last that finds a row counts."""
+    left = _derived(spark, sf_dir, "supplier", {"id": "s_suppkey", "a": "s_suppkey", "b": "s_nationkey"}, {"id": "#org+id", "a": "#country+code", "b": "#country+code"})
+    return left.merge_data(f.with_columns("#country"), "#country+code", "#country+name").with_columns("#org,#country+name").to_df("id", "nation")
+
+
+@query("part", "SELECT p_partkey AS id,CASE WHEN v=floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE CAST(v AS VARCHAR) END AS price FROM (SELECT p_partkey,round(p_retailprice,1) AS v FROM part)")
+def clean_number(_, spark, sf_dir):
+    return _derived(spark, sf_dir, "part", {"id": "p_partkey", "price": "concat(' ', format_number(round(p_retailprice, 1), 2), ' ')"}, {"id": "#item+id", "price": "#value"}).clean_data(number="#value").to_df()
+
+
+@query("orders", "SELECT o_orderkey AS id,strftime(o_orderdate,'%Y-%m-%d') AS day FROM orders")
+def clean_date(_, spark, sf_dir):
+    texts = "element_at(array(date_format(o_orderdate, 'd MMM yyyy'), date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'), date_format(o_orderdate, 'MMMM d, yyyy')), cast(o_orderkey % 3 + 1 as int))"
+    return _derived(spark, sf_dir, "orders", {"id": "o_orderkey", "day": texts}, {"id": "#meta+id", "day": "#date"}).clean_data(date="#date").to_df()
+
+
+@query("customer", "SELECT c_custkey AS id,printf('%.4f',(c_custkey%90)+0.25) AS lat,printf('%.4f',-((c_custkey%180)+0.5)) AS lon FROM customer")
+def clean_latlon(_, spark, sf_dir):
+    made = {"id": "c_custkey", "lat": "concat(c_custkey % 90, 'N 15 00')", "lon": "concat(c_custkey % 180, 'W30')"}
+    return _derived(spark, sf_dir, "customer", made, {"id": "#contact+id", "lat": "#geo+lat", "lon": "#geo+lon"}).clean_data(latlon="#geo").to_df()
+
+
+@query("customer", "SELECT c_custkey,lower(c_mktsegment) AS c_mktsegment FROM customer")
+def clean_lower(f, *_):
+    return f.with_columns("#contact+id,#sector").clean_data(lower="#sector").to_df()
+
+
+@query("orders", "SELECT o_orderkey,substr(o_orderpriority,1,1) AS a,CASE WHEN o_orderstatus='F' THEN 'x' ELSE '' END AS b FROM orders UNION ALL SELECT o_orderkey,substr(o_orderpriority,3),CASE WHEN o_orderstatus='F' THEN 'y' ELSE '' END FROM orders")
+def expand_correlate(_, spark, sf_dir):
+    made = {"id": "o_orderkey", "a": "concat(substr(o_orderpriority, 1, 1), ';', substr(o_orderpriority, 3))", "b": "if(o_orderstatus = 'F', 'x;y', '')"}
+    f = _derived(spark, sf_dir, "orders", made, {"id": "#meta+id", "a": "#first+list", "b": "#second+list"})
+    return f.expand_lists(separator=";", correlate=True).to_df("o_orderkey", "a", "b")
+
+
+#: Sizes of parts: numbers, some in words, some dates.
+_SIZES = {"id": "p_partkey", "size": "case p_size % 10 when 0 then 'large' when 1 then '2020-01-02' else cast(p_size as string) end"}
+
+
+@query("part", "SELECT p_partkey AS id FROM part WHERE p_size%10>1")
+def with_rows_is_number(_, spark, sf_dir):
+    return _derived(spark, sf_dir, "part", _SIZES, {"id": "#item+id", "size": "#size"}).with_rows("#size is number").with_columns("#item").to_df()
+
+
+@query("part", "SELECT p_partkey AS id FROM part WHERE p_size%10=0")
+def with_rows_not_date(_, spark, sf_dir):
+    return _derived(spark, sf_dir, "part", _SIZES, {"id": "#item+id", "size": "#size"}).with_rows("#size is not date").with_rows("#size is not number").with_columns("#item").to_df()
+
+
+@query("part", "SELECT p_partkey FROM part WHERE NOT regexp_matches(lower(p_type),'brass$')")
+def with_rows_not_regex(f, *_):
+    return f.with_rows("#item+type!~brass$").with_columns("#item+id").to_df()
+
+
+@query("lineitem", "SELECT l_orderkey,l_linenumber,greatest(l_discount,l_tax) AS hi,(l_discount+l_tax)/2 AS mid FROM lineitem")
+def f_max_average(f, *_):
+    return f.add_columns(["hi#calc+hi={{max(#discount, #tax)}}", "mid#calc+mid={{average(#discount, #tax)}}"], typed=True).with_columns("#meta+order,#meta+line,#calc").to_df().withColumn("mid", F.col("mid").cast("double"))
+
+
+@query("part", "SELECT p_partkey,CAST(-p_size-3 AS DOUBLE) AS a,CASE WHEN p_size=7 THEN NULL ELSE p_size/(p_size-7.0::DOUBLE) END AS b FROM part")
+def f_minus_and_zero(f, *_):
+    f = f.add_columns(["a#calc+a={{-#size - 3}}", "b#calc+b={{#size / (#size - 7)}}"], typed=True).with_columns("#item+id,#calc")
+    return f.to_df().withColumns({"a": F.col("a").cast("double"), "b": F.col("b").cast("double")})
+
+
+@query("region", "SELECT r_regionkey,strftime(now(),'%Y')>='2024' AS ok FROM region")
+def f_today(f, *_):
+    return _typed(f, "#region+code", "today()", "d").select("r_regionkey", (F.substr(F.col("d").cast("string"), F.lit(1), F.lit(4)) >= "2024").alias("ok"))
+
+
+@query("orders", "SELECT count(*) AS n FROM orders WHERE lower(o_orderstatus)='f'")
+def row_counter(f, spark, _):
+    counter = f.row_counter("#status=F")
+    counter.frame.to_df().count()
+    return spark.createDataFrame([(counter.row_count,)], "n long")
+
+
+@query("customer", "SELECT c_custkey AS id FROM customer WHERE c_mktsegment='BUILDING'")
+def v_required(_, spark, sf_dir):
+    from .validation import RequiredTest
+
+    return _violating(_derived(spark, sf_dir, "customer", _BLANKED, _SEGMENTS), RequiredTest("#sector"), "#contact+id")
+
+
+@query("part", "SELECT p_partkey AS id,CASE p_size%10 WHEN 0 THEN 'large' ELSE '2020-01-02' END AS size FROM part WHERE p_size%10<2")
+def v_datatype(_, spark, sf_dir):
+    from .validation import DatatypeTest
+
+    return _violating(_derived(spark, sf_dir, "part", _SIZES, {"id": "#item+id", "size": "#size"}), DatatypeTest("#size", "number"), "#item+id,#size")
+
+
+@query("customer", "SELECT c_custkey AS id FROM customer WHERE c_acctbal<=0")
+def v_datatype_email(_, spark, sf_dir):
+    from .validation import DatatypeTest
+
+    made = {"id": "c_custkey", "mail": "concat('c', c_custkey, if(c_acctbal > 0, '@mail.org', ' at mail.org'))"}
+    return _violating(_derived(spark, sf_dir, "customer", made, {"id": "#contact+id", "mail": "#contact+email"}), DatatypeTest("#contact+email", "email"), "#contact+id")
+
+
+@query("part", "SELECT p_partkey AS id FROM part WHERE p_size%4<3")
+def v_whitespace(_, spark, sf_dir):
+    from .validation import WhitespaceTest
+
+    made = {"id": "p_partkey", "name": "element_at(array(concat(' ', p_name), concat(p_name, ' '), replace(p_name, ' ', '  '), p_name), cast(p_size % 4 + 1 as int))"}
+    return _violating(_derived(spark, sf_dir, "part", made, {"id": "#item+id", "name": "#item+name"}), WhitespaceTest("#item+name"), "#item+id")
+
+
+@query("part", "SELECT p_partkey FROM part WHERE NOT regexp_matches(p_brand,'^Brand#[1-3]')")
+def v_regex(f, *_):
+    from .validation import RegexTest
+
+    return _violating(f, RegexTest("#item+brand", "^Brand#[1-3]"), "#item+id")
+
+
+@query("orders", "SELECT o_orderkey FROM (SELECT o_orderkey,row_number() OVER (PARTITION BY o_custkey,lower(o_orderstatus) ORDER BY o_orderkey) rn FROM orders) WHERE rn>1")
+def v_unique_row(f, *_):
+    from .validation import UniqueRowTest
+
+    return _violating(f, UniqueRowTest("#contact+id,#status"), "#meta+id")
+
+
+@query("part", "SELECT p_partkey AS id FROM part WHERE p_size%10<2")
+def v_consistent(_, spark, sf_dir):
+    from .validation import ConsistentDatatypesTest
+
+    return _violating(_derived(spark, sf_dir, "part", _SIZES, {"id": "#item+id", "size": "#size"}), ConsistentDatatypesTest("#size"), "#item+id")
+
+
+@query("customer", """WITH w AS (SELECT c_custkey AS id,CASE WHEN c_custkey%150=7 THEN 'machinry' ELSE lower(c_mktsegment) END AS seg FROM customer), c AS (SELECT seg,count(*) AS n FROM w GROUP BY 1),
+m AS (SELECT avg(n) AS m,stddev_pop(n) AS d FROM c) SELECT id,'machinery' AS suggestion FROM w,m WHERE seg='machinry' AND d/m<=1 AND (SELECT n FROM c WHERE seg='machinry')<=m*0.05""")
+def v_spelling(_, spark, sf_dir):
+    from .validation import SpellingTest
+
+    f = _derived(spark, sf_dir, "customer", _TYPOS, {"id": "#contact+id", "seg": "#sector"})
+    return SpellingTest("#sector").violations(f).select(F.col("c0").alias("id"), F.col("_suggestion").alias("suggestion"))
+
+
+@query("customer", "SELECT c_custkey AS id,CASE WHEN c_custkey%150=7 THEN 'MACHINRY' ELSE 'BUILDING' END AS seg FROM customer WHERE c_custkey%150=7 OR c_mktsegment='BUILDING'")
+def v_listed(f, spark, sf_dir):
+    from .validation import ListedTest
+
+    allowed = f.without_rows("#sector=BUILDING").value_set("#sector")
+    return _violating(_derived(spark, sf_dir, "customer", _TYPOS, {"id": "#contact+id", "seg": "#sector"}), ListedTest("#sector", allowed), "#contact+id,#sector")
+
+
+@query("part", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,p_name,p_brand FROM part")
+def csv_round_trip(f, spark, _):
+    """Written as CSV by the executors and read back as a folder of tables."""
+    import tempfile
+    import uuid
+
+    from .sources.readers import read_csv
+    from .sources.sinks import write_csv
+
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/tagloom-csv-{uuid.uuid4().hex}"
+    write_csv(f.with_columns("#item+id,#item+name,#item+brand"), path)
+    return read_csv(spark, path).to_df()
+
+
+@query("customer", """SELECT c_custkey AS id,upper(c_mktsegment) AS seg,'new' AS mark FROM customer WHERE lower(c_mktsegment)<>'building' AND c_acctbal>0""")
+def recipe_columns(f, *_):
+    from .plans.recipe import from_recipe
+
+    steps = [
+        {"filter": "without_rows", "queries": "#sector=BUILDING"}, {"filter": "with_rows", "queries": "#value>0"}, {"filter": "without_columns", "excludes": "#value,#country"},
+        {"filter": "with_columns", "includes": "#contact+id,#sector"}, {"filter": "clean_data", "upper": "#sector"}, {"filter": "add_columns", "specs": ["mark#meta+mark=old"]},
+        {"filter": "replace_data", "original": "old", "replacement": "new", "pattern": "#meta+mark"}, {"filter": "rename_columns", "specs": ["#contact+id:id#meta+id", "#sector:seg#sector"]},
+    ]
+    return from_recipe(f, steps).to_df()
+
+
+@query("orders", "SELECT o_custkey,o_orderkey FROM (SELECT o_custkey,o_orderkey,row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) rn FROM orders) WHERE rn=1 ORDER BY o_custkey LIMIT 20")
+def recipe_rows(f, *_):
+    from .plans.recipe import from_recipe
+
+    steps = [{"filter": "dedup", "patterns": "#contact+id"}, {"filter": "sort", "keys": "#contact+id"}, {"filter": "cache", "max_rows": 20}, {"filter": "with_columns", "includes": "#contact+id,#meta+id"}]
+    return from_recipe(f, steps).to_df().select("o_custkey", "o_orderkey")
+
+
+@query("nation", "SELECT n_nationkey,n_name,r_name FROM nation JOIN region ON r_regionkey=n_regionkey UNION ALL SELECT 99,'extra','AFRICA'")
+def recipe_tables(f, spark, sf_dir):
+    from .plans.recipe import from_recipe
+
+    extra = [["code", "name", "region"], ["#country+code", "#country+name", "#region+code"], [99, "extra", 0]]
+    regions = [["#region+code", "#region+name"], *([r.r_regionkey, r.r_name] for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect())]  # five rows
+    steps = [{"filter": "append", "append_sources": [{"input": extra, "recipe": []}]}, {"filter": "merge_data", "merge_source": regions, "keys": "#region+code", "tags": "#region+name"}, {"filter": "without_columns", "excludes": "#region+code"}]
+    return from_recipe(f, steps).to_df("n_nationkey", "n_name", "r_name").withColumn("n_nationkey", F.col("n_nationkey").cast("int"))
+
+
+@query("lineitem", "SELECT l_returnflag,hdr,round(sum(val),2) AS total FROM (SELECT l_returnflag,'discount' AS hdr,l_discount AS val FROM lineitem UNION ALL SELECT l_returnflag,'tax',l_tax FROM lineitem) GROUP BY 1,2")
+def recipe_reshape(f, *_):
+    from .plans.recipe import from_recipe
+
+    steps = [
+        {"filter": "with_columns", "includes": "#status+return,#discount,#tax"}, {"filter": "rename_columns", "specs": ["#discount:discount#rate+label", "#tax:tax#rate+label"]},
+        {"filter": "explode"}, {"filter": "count", "patterns": "#status+return,#rate+header", "aggregators": "sum(#rate+value) as total#rate+sum"},
+    ]
+    return from_recipe(f, steps).to_df("l_returnflag", "hdr", "total").withColumn("total", F.round(F.col("total").cast("double"), 2))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, table: str, work, mode: str = "append") -> DataFrame:
+    """What work(frame) gives for a stream of a sample table's files, when all of them have been read."""
+    import uuid
+
+    from .streaming import stream_frame
+
+    static = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    source = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{table}*.parquet" if not _is_folder(spark, f"{sf_dir}/{table}.parquet") else "*.parquet")
+    df = source.parquet(f"{sf_dir}/{table}.parquet" if _is_folder(spark, f"{sf_dir}/{table}.parquet") else sf_dir)
+    name = f"s{uuid.uuid4().hex}"
+    run = work(stream_frame(df, TAGS[table])).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+@query("events", "SELECT event_id,upper(event_type) AS event_type,'live' AS mode FROM events WHERE value>50")
+def stream_rows_columns_cells(_, spark, sf_dir):
+    work = lambda f: f.with_rows("#value>50").with_columns("#meta+id,#event").clean_data(upper="#event").add_columns("mode#meta+mode=live").to_df()
+    return _streamed(spark, sf_dir, "events", work)
+
+
+@query("events", "SELECT event_type,count(*) AS n FROM events GROUP BY 1")
+def stream_count(_, spark, sf_dir):
+    return _streamed(spark, sf_dir, "events", lambda f: f.count("#event+type", "count() as n#meta+count").to_df(), "complete")
+
+
+@query("events", "SELECT DISTINCT event_type FROM events")
+def stream_dedup(_, spark, sf_dir):
+    from .streaming import dedup
+
+    return _streamed(spark, sf_dir, "events", lambda f: dedup(f.with_columns("#event+type")).to_df())
+
+
+@query("events", "SELECT event_id,CASE WHEN event_type='purchase' THEN 'bought' ELSE '' END AS kind FROM events UNION ALL SELECT event_id,'again' FROM events")
+def stream_merge_append(_, spark, sf_dir):
+    kinds = TagFrame.from_rows(spark, [["#event+type", "#event+kind"], ["purchase", "bought"]])
+
+    def work(f):
+        slim = f.with_columns("#meta+id,#event")
+        merged = slim.merge_data(kinds, "#event+type", "#event+kind").with_columns("#meta+id,#event+kind")
+        return merged.append(slim.with_columns("#meta+id").add_columns("#event+kind=again")).to_df("event_id", "kind")
+
+    return _streamed(spark, sf_dir, "events", work)
+
+
 def _violating(f: TagFrame, test, keep: str) -> DataFrame:
     """Named columns of the rows that a test finds fault with."""
     places = f.places(keep)
