@@ -13,9 +13,10 @@ share one anchor overlap and form a segment.
    the longest common prefix is at least length - o behind and o before. No pairs are formed.
 4. The strings found cover spans, which are cut out of each document.
 
-Digests and grams are 64 bits each and count together. Counts are combined before each shuffle; the join that brings
-digests back to their places can be split where one passage has a third of all places. A gram with more than `most`
-digests is not collected: each of its strings is counted by a 128-bit digest instead, which is exact as well.
+Digests and grams are 64 bits each and count together. Counts are combined before each shuffle, none by a window; the joins
+that bring them back to their places can be split where one passage has a third of all places. What settles which bytes:
+digests the inside of long repeats and copies, the sort their ends. A gram with more than `most` digests is not collected:
+each of its strings is counted by a 128-bit digest instead, which is exact as well. The texts are shuffled once, by key.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
@@ -173,7 +174,7 @@ def repeated_strings(segments: list[tuple[bytes, int, int]], length: int) -> lis
 
 
 def _resolve(length: int):
-    """Spans of segments that occur once, from rows (gram, k1, k2, place, once, bytes) sorted by gram."""
+    """Spans of segments that occur once, from rows (gram, k1, k2, place, once, bytes) sorted by gram, key and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -190,7 +191,8 @@ def _resolve(length: int):
                 if group and row[0] != group[0][0]:
                     close()
                     group.clear()
-                group.append(row)
+                if not group or row[1:4] != group[-1][1:4]:  # rows of one key are equal; one of them is enough
+                    group.append(row)
             if len(out) > 10_000:
                 yield _spans(out)
                 out.clear()
@@ -255,44 +257,43 @@ def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if 0 < rows <= most else df.hint("merge")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, most: int = 1024) -> DataFrame:
-    """(k1, k2, spans) for the rows of docs (doc_id, text) that have bytes covered by strings of `length` bytes that start more than once: merged [start, end) in bytes. Keys as _keyed() makes them."""
+def repeated_spans(keyed: DataFrame, length: int = 400, most: int = 1024) -> DataFrame:
+    """(k1, k2, spans) for the rows of keyed (doc_id, text, k1, k2) that have bytes covered by strings of `length` bytes that start more than once: merged [start, end) in bytes."""
     if not GRAM < length <= 1023:
         raise ValueError(f"length must be over {GRAM} and at most 1023 bytes")
-    keyed = _keyed(docs.where(F.octet_length("text") >= length))
-    found = keyed.select("k1", "k2", "text").mapInArrow(_find_segments(length), "k1 long, k2 long, place long, gram long, digest long")
+    found = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text").mapInArrow(_find_segments(length), "k1 long, k2 long, place long, gram long, digest long")
     found = materialise(found, "segments")
-    alike = found.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "place")))
-    alike = alike.withColumn("kinds", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1 or kinds > 1")
-    alike = materialise(alike, "digests")
-
-    # All strings of a segment that occurs more than once repeat. This join and the next shuffle at any size, so what is measured on little data holds for much.
-    full = found.join(alike.where("n > 1").select(F.col("gram").alias("g"), F.col("digest").alias("d")).hint("merge"), (F.col("gram") == F.col("g")) & (F.col("digest") == F.col("d")))
+    # Grams that occur twice, with partial sums first; only their segments go on. These joins shuffle at any size, so what is measured on little data holds for much.
+    grams = found.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")).where("n > 1")
+    grams = grams.select("g", (F.col("low") != F.col("high")).alias("several"))
+    again = materialise(found.join(grams.hint("merge"), F.col("gram") == F.col("g")).drop("g"), "repeated")
+    same = F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("k1", "k2", "place"))
+    alike = materialise(again.where("several").groupBy("gram", "digest").agg(*same), "digests")
+
+    # All strings of a segment that occurs more than once repeat.
+    twice = alike.where("n > 1").select(F.col("gram").alias("g"), F.col("digest").alias("d"))
+    among = again.where("several").join(twice.hint("merge"), (F.col("gram") == F.col("g")) & (F.col("digest") == F.col("d"))).drop("g", "d")
     lo = F.shiftright("place", 20)
-    full = full.select("k1", "k2", lo.alias("start"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023)) + length).alias("end"))
+    spans = again.where("not several").union(among).select("k1", "k2", lo.alias("start"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023)) + length).alias("end"))
 
     # Segments of a gram that has several digests are compared, one of each digest.
-    ends = alike.where("kinds > 1").select("k1", "k2", F.struct("gram", "place", (F.col("n") == 1).alias("once"), "kinds").alias("w"))
+    kinds = alike.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds"))
+    ends = alike.join(kinds, F.col("gram") == F.col("g")).select("k1", "k2", F.struct("gram", "place", (F.col("n") == 1).alias("once"), "kinds").alias("w"))
     wanted = materialise(ends.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
-    # Rows of one key are equal; one of them is enough.
-    fetched = keyed.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"])
+    # The same rows in the same columns as remove_repeats() joins, so that the texts are shuffled once for both.
+    fetched = keyed.join(wanted.hint("merge"), ["k1", "k2"])
     few, many = (F.filter("wanted", lambda w: w["kinds"] <= most), F.filter("wanted", lambda w: w["kinds"] > most))
     shape = "gram long, k1 long, k2 long, place long, once boolean, bytes binary"
-    parts = []
     if not wanted.isEmpty():
-        cut = fetched.withColumn("wanted", few).where(F.size("wanted") > 0).mapInArrow(_cut(length), shape).distinct()
-        parts.append(cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve(length), "k1 long, k2 long, start long, end long"))
-    if alike.where(F.col("kinds") > most).limit(1).count():
-        crowd = fetched.withColumn("wanted", many).where(F.size("wanted") > 0).mapInArrow(_cut(length), shape).distinct()
+        cut = fetched.withColumn("wanted", few).mapInArrow(_cut(length), shape)
+        spans = spans.union(cut.repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place").mapInArrow(_resolve(length), "k1 long, k2 long, start long, end long"))
+    if not wanted.where(F.exists("wanted", lambda w: w["kinds"] > most)).isEmpty():
+        crowd = fetched.withColumn("wanted", many).mapInArrow(_cut(length), shape).distinct()
         strings = materialise(crowd.mapInArrow(_strings(length), "h1 long, h2 long, k1 long, k2 long, start long, once boolean"), "strings")
-        twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-        again = strings.where("once").join(twice, ["h1", "h2"])
-        parts.append(again.select("k1", "k2", "start", (F.col("start") + length).alias("end")))
-    spans = full
-    for p in parts:
-        spans = spans.union(p)
+        more = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+        spans = spans.union(strings.where("once").join(more, ["h1", "h2"]).select("k1", "k2", "start", (F.col("start") + length).alias("end")))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return materialise(spans.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<start:long,end:long>>"), "spans")
+    return spans.mapInArrow(_merge, "k1 long, k2 long, spans array<struct<start:long,end:long>>")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,10 +321,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, most: int = 1024, broadca
     its row. Other columns are ignored. An empty table gives an empty one. broadcast_rows: up to how many spans may be
     broadcast instead of shuffling the texts; by default none, so the plan is the same at every size.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = repeated_spans(slim, length, most)
-    rows = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    joined = _keyed(slim).join(_sized(spans, rows, broadcast_rows), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    spans = repeated_spans(keyed, length, most)
+    if broadcast_rows:
+        spans = materialise(spans, "spans")
+        spans = _sized(spans, spans.agg(F.sum(F.size("spans"))).first()[0] or 0, broadcast_rows)
+    joined = keyed.join(spans.hint("merge") if not broadcast_rows else spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_without, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
