@@ -19,7 +19,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
@@ -134,8 +134,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(distinct: DataFrame, most: int = 2048) -> DataFrame:
     """(u, v) edges between different fingerprints fp that join all those linked by 2 or fewer differing bits, and no others."""
-    keyed = distinct.select("fp").mapInArrow(_meeting_keys, "key long, fp long")
-    keyed = materialise(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1"), "meetings")
+    keyed = materialise(distinct.select("fp").mapInArrow(_meeting_keys, "key long, fp long"), "keys")
+    # Counted with partial sums and joined back: a join can be split at a hot key, which a window would put into one task.
+    counts = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = materialise(keyed.join(counts.hint("merge"), F.col("key") == F.col("k")).drop("k"), "meetings")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,8 +158,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts are lower-cased (A-Z), cut into words at ASCII blanks and into shingles of `size` words, repeats included; a
     shorter text is one shingle; a text without words, an empty or a null text has fingerprint zero and is linked like
     any other. Fingerprints link at 2 or fewer differing bits; component_id is the smallest id reachable. Repeated rows
-    each get their row. A null id keeps its row and never names a component unless all of its ids are null. Other
-    columns are ignored. An empty table gives an empty one.
+    each get their row. A null id keeps its row and never names a component unless all of its ids are null. Texts of any
+    length are read whole. Ties: a bit set in just half of the shingles is 0. Other columns are ignored, whatever their
+    names. An empty table gives an empty one.
     """
     marked = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagloom.llm import host_reputation as hosts
@@ -35,6 +36,41 @@ def test_knn_equals_brute_force(spark, shape):
     assert sorted(tuple(r) for r in got.collect()) == brute_knn(rows, 10, 5)
 
 
+def test_knn_prunes_clusters(spark, monkeypatch):
+    """50,000 vectors in 40 tight clusters: a vector goes to about two of nine parts (clusters with several pivots lie in two)."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    centres *= 4000 / np.linalg.norm(centres, axis=1)[:, None]
+    x = np.floor(centres[rng.integers(0, 40, 50_000)] + rng.normal(size=(50_000, 16)) * 4)
+    df = spark.createDataFrame(pa.table({"id": np.arange(50_000), "v": pa.array(list(x))}))
+    sent = []
+    plain = type(df).mapInArrow
+
+    def counting(self, function, *rest):
+        out = plain(self, function, *rest)
+        if function.__name__ == "send_data":
+            sent.append(out.select("pack", "id"))
+        return out
+
+    monkeypatch.setattr(type(df), "mapInArrow", counting)
+    got = knn.voronoi_knn_join(df.where("id % 50 = 0"), df, group_rows=128).collect()
+    rows, packs = sent[0].count(), sent[0].select("pack").distinct().count()
+    assert packs >= 8 and rows <= 2.5 * 50_000, (rows, packs)
+    for q in (0, 5000, 49_950):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        want = sorted(range(50_000), key=lambda i: (-scores[i], i))[:5]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+
+
+def test_knn_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(7, rng.normal(size=3).tolist()) for _ in range(60)] + [(i, rng.normal(size=3).tolist()) for i in range(8, 30)]
+    df = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
+    got = knn.voronoi_knn_join(df.where("id = 10"), df, 5, group_rows=4, slice_rows=8)
+    assert [tuple(r) for r in got.orderBy("rank").collect()] == brute_knn(rows, 10, 5)[:5]
+
+
 def test_knn_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [0.5])], "vec_id long, embedding array<float>")
     v = knn.integer_vectors(df, "vec_id", "embedding")

@@ -47,6 +47,13 @@ def test_golay_keys_meet_within_two_bits():
             assert all((set(x) & set(y)) - {-1} for x, y in zip(a, b, strict=True))
 
 
+def test_long_text_is_read_whole():
+    words = [f"w{i * i % 977}" for i in range(40_000)]
+    hs = np.array([xxhash.xxh64_intdigest(" ".join(words[k : k + 3]).encode(), 42) for k in range(len(words) - 2)], dtype=np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int(((hs >> np.uint64(b)) & np.uint64(1)).sum()) > len(hs))
+    assert g.fingerprint(" ".join(words).encode()) == want
+
+
 def test_every_syndrome_has_a_leader():
     lead = g._leaders()
     assert (g._syndromes(lead) == np.arange(2048)).all() and max(int(x).bit_count() for x in lead) == 3
