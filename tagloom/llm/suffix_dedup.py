@@ -280,7 +280,7 @@ def repeated_spans(keyed: DataFrame, length: int = 400, most: int = 1024) -> Dat
     kinds = alike.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("kinds"))
     ends = alike.join(kinds, F.col("gram") == F.col("g")).select("k1", "k2", F.struct("gram", "place", (F.col("n") == 1).alias("once"), "kinds").alias("w"))
     wanted = materialise(ends.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted")), "wanted")
-    # The same rows in the same columns as remove_repeats() joins, so that the texts are shuffled once for both.
+    # The same rows in the same columns as remove_repeats() joins, and no table written between, so that the texts are shuffled once for all uses.
     fetched = keyed.join(wanted.hint("merge"), ["k1", "k2"])
     few, many = (F.filter("wanted", lambda w: w["kinds"] <= most), F.filter("wanted", lambda w: w["kinds"] > most))
     shape = "gram long, k1 long, k2 long, place long, once boolean, bytes binary"
@@ -289,7 +289,7 @@ def repeated_spans(keyed: DataFrame, length: int = 400, most: int = 1024) -> Dat
         spans = spans.union(cut.repartition("gram").sortWithinPartitions("gram", "k1", "k2", "place").mapInArrow(_resolve(length), "k1 long, k2 long, start long, end long"))
     if not wanted.where(F.exists("wanted", lambda w: w["kinds"] > most)).isEmpty():
         crowd = fetched.withColumn("wanted", many).mapInArrow(_cut(length), shape).distinct()
-        strings = materialise(crowd.mapInArrow(_strings(length), "h1 long, h2 long, k1 long, k2 long, start long, once boolean"), "strings")
+        strings = crowd.mapInArrow(_strings(length), "h1 long, h2 long, k1 long, k2 long, start long, once boolean")
         more = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
         spans = spans.union(strings.where("once").join(more, ["h1", "h2"]).select("k1", "k2", "start", (F.col("start") + length).alias("end")))
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
