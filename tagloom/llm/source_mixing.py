@@ -58,13 +58,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
         now = now.join(goal, F.col(dim) == F.col("key"), "left").drop("key").fillna(0.0, [f"goal_{dim}"])
     now = materialise(now.withColumn("off", F.lit(0.0)), "cells")
     for _ in range(rounds):
-        for k, dim in enumerate(targets):  # a step a table: plans stay small
-            sums = now.groupBy(F.col(dim).alias("key")).agg(F.sum("w").alias("is"))
-            step = now.join(sums, F.col(dim) == F.col("key")).drop("key")
+        step = now
+        for k, dim in enumerate(targets):
+            sums = step.groupBy(F.col(dim).alias("key")).agg(F.sum("w").alias("is"))
+            step = step.join(sums, F.col(dim) == F.col("key")).drop("key")
             step = step.withColumn("f", F.when(F.col("is") > 0, F.col(f"goal_{dim}") / F.col("is")).otherwise(0.0))
             off = F.when(F.col("w") > 0, F.abs(F.col("f") - 1)).otherwise(0.0)
             step = step.withColumns({"off": off if k == 0 else F.greatest("off", off), "w": F.col("w") * F.col("f")}).drop("is", "f")
-            now = materialise(step, "cells")
+        now = materialise(step, "cells")  # a table a round: plans stay small
         if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     now = now.drop("off", *(f"goal_{dim}" for dim in targets))
@@ -109,10 +110,13 @@ def mix(docs: DataFrame, share: float = 0.5, power: float = 0.5, targets: dict[s
     made = {d: materialise((targets or {}).get(d) or tempered_targets(cells, d, power), "target") for d in DIMENSIONS}
     every = F.broadcast(cells.agg(F.sum("tokens").alias("all")))
     done = calibrate(rake(cells, made), share).join(every)
-    done = done.select(*(F.col(d).alias(f"cell_{d}") for d in DIMENSIONS), (F.col("w") * F.col("all") / F.col("tokens")).alias("weight"), "probability")
+    cell = "cell_"  # before names of the cells' columns; docs must have none that starts so
+    while any(c.lower().startswith(cell) for c in docs.columns):
+        cell += "_"
+    done = done.select(*(F.col(d).alias(f"{cell}{d}") for d in DIMENSIONS), (F.col("w") * F.col("all") / F.col("tokens")).alias("weight"), "probability")
     done = materialise(done, "cells")
     clash = [c for c in ("weight", "probability", "sampled") if c in docs.columns]
-    joined = docs.drop(*clash).join(done, [key[d] == F.col(f"cell_{d}") for d in DIMENSIONS], "left").drop(*(f"cell_{d}" for d in DIMENSIONS))
+    joined = docs.drop(*clash).join(done, [key[d] == F.col(f"{cell}{d}") for d in DIMENSIONS], "left").drop(*(f"{cell}{d}" for d in DIMENSIONS))
     some = F.col("n_tokens") > 0
     joined = joined.withColumns({c: F.when(some, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in ("weight", "probability")})
     return joined.withColumn("sampled", uniform(F.col("doc_id"), seed) < F.col("probability"))
