@@ -18,6 +18,13 @@ from .common import LOWER, UPPER, ascii_lower, materialise
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Public suffixes of two labels that are common on the web; a parameter where a full list is at hand. Addresses in figures.
+SUFFIXES = (
+    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk com.au edu.au gov.au net.au org.au co.nz govt.nz net.nz org.nz ac.jp co.jp go.jp ne.jp or.jp ac.kr co.kr go.kr or.kr "
+    "com.br gov.br net.br org.br com.ar com.mx com.co com.pe com.ve com.cn edu.cn gov.cn net.cn org.cn com.hk com.tw com.sg com.my com.ph com.vn co.id co.th ac.in co.in gov.in net.in org.in "
+    "ac.za co.za gov.za org.za co.ke com.ng com.eg co.il ac.il org.il com.tr gov.tr com.ua com.pl com.ru"
+).split()
+ADDRESS = r"^(?:[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$"
 #: Lower bound = mean - Z standard deviations; hosts whose bound is THRESHOLD or more pass.
 Z, THRESHOLD = 1.645, 0.7
 #: Prior strength where the groups of a level cannot tell, and its limits.
@@ -32,9 +39,13 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def last_labels(host: Column, n: int) -> Column:
-    """The last n dot-separated labels of a host, without a port: suffix (1) or registered domain (2)."""
-    return F.regexp_extract(F.regexp_replace(host, ":[0-9]*$", ""), r"([^.]*" + r"\.[^.]*" * (n - 1) + ")$", 1)
+def domain_and_suffix(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain of a host and the public suffix under it, without user and port. The suffix is the last label, or the last two where `suffixes` has them. An address in figures is its own domain, under the empty suffix."""
+    bare = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    last = lambda n: F.regexp_extract(bare, r"([^.]*" + r"\.[^.]*" * (n - 1) + ")$", 1)
+    address, two = bare.rlike(ADDRESS), last(2).isin(list(suffixes))
+    domain = F.when(address, bare).when(two & (last(3) != ""), last(3)).otherwise(last(2))
+    return domain, F.when(address, "").when(two, last(2)).otherwise(last(1))
 
 
 def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -57,10 +68,11 @@ def _strength(groups: DataFrame, n: str, k: str, parent: str, out: str) -> DataF
     return one.select(F.when(rho.isNull(), STRENGTH).when(rho <= 0, MOST).otherwise(fitted).alias(out))
 
 
-def host_bounds(pages: DataFrame) -> DataFrame:
+def host_bounds(pages: DataFrame, suffixes=SUFFIXES) -> DataFrame:
     """(host, n, mean, bound) for each host of pages (host, outcome): labelled pages, posterior mean and lower bound."""
+    domain, suffix = domain_and_suffix(F.col("host"), suffixes)
     hosts = pages.groupBy("host").agg(F.count("outcome").alias("n"), F.coalesce(F.sum("outcome"), F.lit(0)).cast("long").alias("k"))
-    hosts = materialise(hosts.select("host", last_labels(F.col("host"), 2).alias("domain"), last_labels(F.col("host"), 1).alias("suffix"), "n", "k"), "hosts")
+    hosts = materialise(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k"), "hosts")
     domains = materialise(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
     every = suffixes.agg(((F.sum("sk") + 1.0) / (F.sum("sn") + 2.0)).alias("p0"))
@@ -80,15 +92,16 @@ def host_bounds(pages: DataFrame) -> DataFrame:
     return hosts.select("host", "n", mean.alias("mean"), (mean - Z * deviation).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, threshold: float = THRESHOLD, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, threshold: float = THRESHOLD, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url, outcome 1, 0 or null).
 
     A null url, or one without "://", has an empty host and path and is judged by the empty host's own reputation.
     Null outcomes count nowhere; without any the overall rate is 1/2. Rows repeat as they are; an empty table gives an
-    empty one. Other columns are ignored.
+    empty one. Other columns are ignored, whatever their names; very long urls are read whole; equal bounds need no
+    order. suffixes: public suffixes of two labels.
     """
     slim = pages.select("page_id", F.col("outcome").cast("int").alias("outcome"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    judged = slim.join(host_bounds(slim).select(F.col("host").alias("h"), "bound"), F.col("host") == F.col("h"))
+    judged = slim.join(host_bounds(slim, suffixes).select(F.col("host").alias("h"), "bound"), F.col("host") == F.col("h"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") >= threshold, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
@@ -124,9 +137,12 @@ WITH known AS (
 ), o AS (
   SELECT p.*, known.outcome FROM p LEFT JOIN known ON known.doc_id = TRY_CAST(regexp_extract(p.path, '^/[^/]*/([0-9]+)', 1) AS BIGINT)
 ), h AS (
-  SELECT host, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*\\.[^.]*)$', 1) AS domain,
-    regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*)$', 1) AS suffix, count(outcome) AS n, coalesce(sum(outcome), 0) AS k
-  FROM o GROUP BY 1
+  SELECT host, CASE WHEN address THEN bare WHEN two <> '' AND l3 <> '' THEN l3 ELSE l2 END AS domain,
+    CASE WHEN address THEN '' WHEN two <> '' THEN l2 ELSE regexp_extract(bare, '([^.]*)$', 1) END AS suffix, count(outcome) AS n, coalesce(sum(outcome), 0) AS k
+  FROM (SELECT *, regexp_matches(bare, '{ADDRESS}') AS address, CASE WHEN l2 IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) THEN l2 ELSE '' END AS two
+    FROM (SELECT *, regexp_extract(bare, '([^.]*\\.[^.]*)$', 1) AS l2, regexp_extract(bare, '([^.]*\\.[^.]*\\.[^.]*)$', 1) AS l3
+    FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM o)))
+  GROUP BY 1, 2, 3
 ), d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY 1, 2
 ), s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY 1
 ), s0 AS (SELECT s.*, p0 FROM s, (SELECT (sum(sk) + 1.0::DOUBLE) / (sum(sn) + 2.0::DOUBLE) AS p0 FROM s)

@@ -89,6 +89,22 @@ def test_urls(spark):
     assert hosts.judge_urls(df).count() == len(rows) and hosts.judge_urls(df.limit(0)).collect() == []
 
 
+def test_registered_domains(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "c.co.uk": ("c.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "u:p@www.x.org:80": ("x.org", "org"), "10.1.2.3": ("10.1.2.3", ""), "10.1.2.3:8080": ("10.1.2.3", ""),
+            "[::1]:9": ("[::1]", ""), "x.com": ("x.com", "com"), "com": ("", "com"), "": ("", "")}
+    domain, suffix = hosts.domain_and_suffix(hosts.F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in want], "h string").select("h", domain, suffix).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == want
+    clash = spark.createDataFrame([(1, "http://a.com/x", 1, "z", "z", 9)], "page_id long, url string, outcome int, h string, bound string, m int")
+    assert hosts.judge_urls(clash).columns == ["page_id", "host", "path", "rule", "verdict"] and hosts.judge_urls(clash).count() == 1
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b c", "en", "s", "x", "y") for i in range(6)], "doc_id long, text string, lang string, source string, cell_source string, cell_ string")
+    got = mixing.mix(mixing.described(df)).collect()
+    assert len(got) == 6 and all(r.cell_source == "x" and r.cell_ == "y" for r in got)
+
+
 def test_reputation_shrinks(spark):
     rows = [(f"good{i}.com", 1) for i in range(40)] * 5 + [("bad.com", 0)] * 50 + [("new.com", None)] + [("once.com", 0)]
     df = spark.createDataFrame(rows, "host string, outcome int")
