@@ -187,8 +187,8 @@ class LanguageModel:
             parts = [words_of(t) for t in texts[a:b]]
             flat = [w for p in parts for w in p]
             if flat:
-                usual = [w if len(w) <= MATRIX else b"" for w in flat]
-                each = scorer.rows[scorer(usual)].astype(np.float64)
+                at = scorer([w if len(w) <= MATRIX else b"" for w in flat])  # before rows are read: it may make more
+                each = scorer.rows[at].astype(np.float64)
                 for i, w in enumerate(flat):
                     if len(w) > MATRIX:
                         each[i] = scorer.score([w])

@@ -74,6 +74,14 @@ def test_words_of_any_length_are_summed_whole():
         lang.PART = some
 
 
+def test_many_different_words():
+    pieces = [bytes([c]) for c in range(256)]
+    model = lang.LanguageModel(["a", "b"], pieces, np.full((256, 2), 1 / 256))
+    texts = [" ".join(f"w{i}x{j}" for i in range(900)).encode() for j in range(4)] + [b"y" * 3000 + b" z"]
+    got = model.totals(texts, model.scorer())
+    assert got[:, 0] == pytest.approx([-math.log(256) * (len(t) + 1) for t in texts], rel=1e-5)
+
+
 def test_letters_are_category_l():
     assert lang.has_letter("½a") and lang.has_letter("日") and not any(map(lang.has_letter, ("½²①", "12 _-", "", "Ⅷ")))
 
