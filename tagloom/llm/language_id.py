@@ -187,11 +187,14 @@ class LanguageModel:
             parts = [words_of(t) for t in texts[a:b]]
             flat = [w for p in parts for w in p]
             if flat:
-                at = scorer([w if len(w) <= MATRIX else b"" for w in flat])  # before rows are read: it may make more
+                long = np.flatnonzero(np.fromiter(map(len, flat), np.int64, len(flat)) > MATRIX).tolist()
+                kept = {i: flat[i] for i in long}
+                for i in long:
+                    flat[i] = b""
+                at = scorer(flat)  # before rows are read: it may make more
                 each = scorer.rows[at].astype(np.float64)
-                for i, w in enumerate(flat):
-                    if len(w) > MATRIX:
-                        each[i] = scorer.score([w])
+                for i, w in kept.items():
+                    each[i] = scorer.score([w])
                 sums = np.vstack([np.zeros((1, out.shape[1])), np.cumsum(each, axis=0)])
                 ends = np.cumsum([len(p) for p in parts])
                 out[a:b] = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
