@@ -1,19 +1,24 @@
 """Near-duplicates by the Jaccard similarity of word shingles, exactly.
 
-Each text is its set of shingle hashes; equal sets are one from the start. All sets are ordered alike: shingles that a
-sample of sets shows to be common come last, the others by their hash. Of two sets with n and m members that are as
-similar as asked, the first few members in that order (the prefix, n - ceil(n * similarity) + 1 of them) meet in at least
-one, so joining prefixes finds every pair (the sample only sets the order, and any order is right). Pairs that their
-lengths or the number of meetings rule out go first; the similarity of the others is counted on the whole sets.
+Each text is its set of shingle hashes; equal sets are one from the start. The caller may name pairs to try first, found by
+the sets' fingerprints; those that are similar join their sets, and the search below is for the links between sets that are
+still apart. All sets are ordered alike: shingles that a sample of texts shows to be common come last, the others by their
+hash. Of two sets with n and m members that are as similar as asked, the first few members in that order (the prefix,
+n - ceil(n * similarity) + 1 of them) meet in at least one, so joining prefixes finds every pair (the sample only sets the
+order, and any order is right). A shingle whose sets are all in one component goes. Pairs that their lengths or the number
+of meetings rule out go first; the similarity of the others is counted on the whole sets.
 
 A shingle in the prefixes of more than `most` sets is not joined with itself at once: its sets are first compared with a
 few chosen ones, and then only sets that are still in different components meet, so a large group of near copies costs
 a few comparisons a member.
+
+Whole sets are not written: one scan makes digest, fingerprint and prefix of each, and the members of the sets that are
+compared are made again from their texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import BROADCAST, materialise, ship, within
 from .components import connected_components
 
 ship(__name__)
@@ -51,30 +56,48 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
 
 
-def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, fp, members) for docs (doc_id, text): fp is a 64-bit digest of the set. A null text counts as empty."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes; 0 for none."""
+    set_bits = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        part = np.unpackbits(hashes[i : i + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        set_bits += part.sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 1024):
-                part = b.slice(start, 1024)
-                found = [shingles(t.as_py() or b"", size) for t in part.column(1).cast(pa.large_binary())]
-                fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), _lists(found)], names=["doc_id", "fp", "members"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, members array<long>")
+def _second(s: np.ndarray) -> np.ndarray:
+    """Other 64-bit hashes of the same shingles."""
+    h = s.view(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _digest(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes())
+
 
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that are common in a sample of the texts, and in how many texts of it they are."""
 
-def _common(sets: DataFrame, n_sets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common in a sample of the sets, and in how many sets of it they are."""
-    every = max(1, n_sets // SAMPLE)
-    counted = sets.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select(F.explode("members").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                found = [shingles(t.as_py() or b"", size) for t in b.column(0).slice(start, 256).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
+
+    every = max(1, docs.count() // SAMPLE)
+    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
     rows = counted.orderBy("key").toArrow()
     return rows["key"].to_numpy().astype(np.int64), rows["count"].to_numpy().astype(np.int64)
 
 
-def _prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, fp, n): the prefix of each set."""
+def _row(docs: DataFrame) -> DataFrame:
+    """docs with the number `at` of a row: rows of one number are equal."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("at"), "text")
+
+
+def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: int = 5) -> DataFrame:
+    """(doc_id, at, fp, print, more, n, prefix) for docs (doc_id, text): fp is a 64-bit digest of the set, print and more are its SimHash fingerprints by two hashes, n counts its members. A null text counts as empty."""
     keys, counts = common
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -89,15 +112,14 @@ def _prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
         for b in batches:
             for start in range(0, b.num_rows, 1024):
                 part = b.slice(start, 1024)
-                fp, lists = np.asarray(part.column(0)), part.column(1)
-                values, ends = np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))
-                full = np.split(values, ends[:-1])
-                found = [first(s) for s in full]
-                lengths = [len(f) for f in found]
-                n = np.repeat(np.array([len(s) for s in full], dtype=np.int64), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(fp, lengths)), pa.array(n)], names=["key", "fp", "n"])
+                rows = []
+                for t in part.column(2).cast(pa.large_binary()):
+                    s = shingles(t.as_py() or b"", size)
+                    rows.append((_digest(s), majority(s.view(np.uint64)), majority(_second(s)), len(s), first(s)))
+                longs = [pa.array(np.array([r[k] for r in rows], dtype=np.uint64).view(np.int64)) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *longs, _lists([r[4] for r in rows])], names=["doc_id", "at", "fp", "print", "more", "n", "prefix"])
 
-    return sets.select("fp", "members").mapInArrow(run, "key long, fp long, n long")
+    return _row(docs).mapInArrow(run, "doc_id long, at long, fp long, print long, more long, n long, prefix array<long>")
 
 
 def _possible(n: Column, m: Column, met: Column) -> Column:
@@ -106,66 +128,92 @@ def _possible(n: Column, m: Column, met: Column) -> Column:
     return (F.least(n, m) * OF >= F.greatest(n, m) * SHARED) & ((met + rest) * (SHARED + OF) >= (n + m) * SHARED)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (u, v) whose sets are similar."""
-    one = sets.select(F.col("fp").alias("u"), F.col("members").alias("a"))
-    two = sets.select(F.col("fp").alias("v"), F.col("members").alias("b"))
+def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """Those (u, v) whose sets are similar. The members are made from the text of one row of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                found = [shingles(t.as_py() or b"", size) for t in part.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(found)], names=["fp", "members"])
+
+    pairs = materialise(pairs, "set-pairs")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    asked = materialise(sets.join(asked, "fp", "left_semi").select("fp", F.col("at").alias("of")), "set-asked")
+    rows = _row(docs).join(within(asked, BROADCAST), F.col("at") == F.col("of")).select("fp", "text")
+    members = materialise(rows.mapInArrow(run, "fp long, members array<long>"), "set-members")
+    one = members.select(F.col("fp").alias("u"), F.col("members").alias("a"))
+    two = members.select(F.col("fp").alias("v"), F.col("members").alias("b"))
     both = pairs.select("u", "v").join(one, "u").join(two, "v")
-    return both.where(F.size(F.array_intersect("a", "b")) * (SHARED + OF) >= (F.size("a") + F.size("b")) * SHARED).select("u", "v")
+    return materialise(both.where(F.size(F.array_intersect("a", "b")) * (SHARED + OF) >= (F.size("a") + F.size("b")) * SHARED).select("u", "v").distinct(), "set-links")
 
 
-def _meeting(left: DataFrame, right_root: bool = False) -> DataFrame:
-    """Pairs u < v of different sets in left (key, fp, n, h) that meet at a key; of different roots if asked."""
-    cols = ["fp", "n", "h", *(["root"] if right_root else [])]
+def _meeting(left: DataFrame) -> DataFrame:
+    """Pairs u < v of sets in left (key, fp, n, h, root) that meet at a key and have different roots."""
+    cols = ["fp", "n", "h", "root"]
     a = left.select("key", *(F.col(c).alias(f"{c}_a") for c in cols))
     b = left.select(F.col("key").alias("key_b"), *(F.col(c).alias(f"{c}_b") for c in cols))
     length = F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * SHARED
-    on = (F.col("key") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b")) & length
-    return a.join(b, on & (F.col("root_a") != F.col("root_b")) if right_root else on)
+    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b")) & length & (F.col("root_a") != F.col("root_b")))
 
 
-def similar_links(sets: DataFrame, most: int = 32, hubs: int = 8) -> DataFrame:
-    """(u, v) edges between different sets fp that join all those as similar as asked, and no others; sets (fp, members) has each once."""
-    prefixes = materialise(_prefixes(sets, _common(sets, sets.count())), "set-prefixes")
+def _rest(marked: DataFrame, links: DataFrame | None, verify: Callable[[DataFrame], DataFrame], most: int, hubs: int = 8) -> DataFrame:
+    """(u, v) edges between different sets fp that, with links, join all those as similar as asked, and no others."""
+    sets = marked.select("fp", "n", "prefix", F.col("fp").alias("root"))
+    if links is not None:
+        comp = materialise(connected_components(links), "set-components")
+        sets = sets.drop("root").join(within(comp, BROADCAST), F.col("fp") == F.col("node"), "left").select("fp", "n", "prefix", F.coalesce("root", "fp").alias("root"))
+    prefixes = sets.select("fp", "n", "root", F.explode("prefix").alias("key"))
     # Counted with partial sums and joined back: a join can be split at a hot key, which a window would put into one task.
-    counts = prefixes.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = materialise(prefixes.join(counts.hint("merge"), F.col("key") == F.col("k")).drop("k"), "set-meetings")
+    counts = prefixes.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "m")
+    # Rows of equal sets become one here.
+    met = materialise(prefixes.join(counts.hint("merge"), F.col("key") == F.col("k")).drop("k").distinct(), "set-meetings")
     crowd = met.where(F.col("m") > most)
     crowded = materialise(crowd.groupBy("fp").agg(F.count(F.lit(1)).alias("h")), "set-crowded")
-    usual = met.where(F.col("m") <= most).join(crowded, "fp", "left").select("key", "fp", "n", F.coalesce("h", F.lit(0)).alias("h"))
+    usual = met.where(F.col("m") <= most).join(crowded, "fp", "left").select("key", "fp", "n", "root", F.coalesce("h", F.lit(0)).alias("h"))
     pairs = _meeting(usual).groupBy(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"), "n_a", "n_b", "h_a", "h_b").agg(F.count(F.lit(1)).alias("c"))
     pairs = pairs.where(_possible(F.col("n_a"), F.col("n_b"), F.col("c") + F.least("h_a", "h_b"))).select("u", "v")
     if crowded.isEmpty():
-        return materialise(_similar(materialise(pairs, "set-pairs"), sets), "set-links")
-    crowd = materialise(crowd.join(crowded, "fp").select("key", "fp", "n", "h"), "set-crowds")
-    hub = crowd.groupBy("key").agg(F.min_by(F.struct("fp", "n", "h"), F.xxhash64("fp", "key")).alias("hub"))
+        return verify(pairs)
+    crowd = materialise(crowd.join(crowded, "fp").select("key", "fp", "n", "h", "root"), "set-crowds")
+    hub = crowd.groupBy("key").agg(F.min_by(F.struct("fp", "n", "h", "root"), F.xxhash64("fp", "key")).alias("hub"))
     few = crowd.withColumn("r", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("key")))).where(F.col("r") <= hubs)
-    tried = few.join(hub, "key").where((F.col("fp") != F.col("hub.fp")) & _possible(F.col("n"), F.col("hub.n"), F.least("h", "hub.h")))
+    tried = few.join(hub, "key").where((F.col("root") != F.col("hub.root")) & _possible(F.col("n"), F.col("hub.n"), F.least("h", "hub.h")))
     tried = tried.select(F.least("fp", "hub.fp").alias("u"), F.greatest("fp", "hub.fp").alias("v"))
-    links = materialise(_similar(materialise(pairs.union(tried).distinct(), "set-pairs"), sets), "set-links")
+    found = verify(pairs.union(tried).distinct())
     # What still lies in different components after that is compared in full.
-    comp = connected_components(links)
-    rooted = crowd.join(comp, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "h", F.coalesce("root", "fp").alias("root"))
+    comp = connected_components(found if links is None else found.union(links))
+    rooted = crowd.drop("root").join(comp, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "h", F.coalesce("root", "fp").alias("root"))
     split = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
     left = materialise(rooted.join(split, "key", "left_semi"), "set-left")
-    rest = _meeting(left, True).where(_possible(F.col("n_a"), F.col("n_b"), F.least("h_a", "h_b"))).groupBy(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
+    rest = _meeting(left).where(_possible(F.col("n_a"), F.col("n_b"), F.least("h_a", "h_b"))).groupBy(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
     # Pairs that meet at a usual key too were counted above.
-    rest = rest.where(_possible(F.col("n_a"), F.col("n_b"), F.col("c"))).select("u", "v")
-    return links.union(materialise(_similar(materialise(rest, "set-pairs"), sets), "set-links"))
+    return found.union(verify(rest.where(_possible(F.col("n_a"), F.col("n_b"), F.col("c"))).select("u", "v")))
 
 
-def similar_groups(docs: DataFrame, size: int = 5, most: int = 32) -> DataFrame:
+def similar_groups(docs: DataFrame, size: int = 5, most: int = 32, meetings: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, component_id), a row for each row of docs (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII blanks; sets of shingles of `size` words link at a Jaccard
     similarity of SHARED / OF or more. A shorter text is one shingle; texts without words, empty and null ones are alike.
     component_id is the smallest id reachable; a null id never names a component unless all of its ids are null.
+    meetings takes the different sets (fp, print, more, n) and gives the pairs (u, v) of fp to try first; the result is the
+    same with any pairs.
     """
-    marked = materialise(shingle_sets(docs, size), "shingle-sets")
-    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    sets = materialise(marked.select("fp", "members").dropDuplicates(["fp"]), "sets")
-    comp = connected_components(similar_links(sets, most))
-    rooted = materialise(least.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = materialise(shingle_sets(docs, _common(docs, size), size), "shingle-sets")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("row")
+    sets = marked.groupBy("fp").agg(row, *(F.first(c).alias(c) for c in ("print", "more", "n")))
+    sets = materialise(sets.select("fp", "print", "more", "n", F.col("row.doc_id").alias("least"), F.col("row.at").alias("at")), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, docs, sets, size)
+
+    links = verify(meetings(sets.select("fp", "print", "more", "n").where("n > 0"))) if meetings else None
+    rest = _rest(marked, links, verify, most)
+    comp = connected_components(rest if links is None else links.union(rest))
+    rooted = materialise(sets.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialise(rooted.join(named, "root").select(F.col("fp").alias("f"), "component_id"), "components")
-    return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", "component_id")
+    return marked.select("doc_id", "fp").join(named, F.col("fp") == F.col("f")).select("doc_id", "component_id")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, ship
 from .components import connected_components
-from .shingle_sets import similar_groups
+from .shingle_sets import majority, similar_groups
 
 ship(__name__)
 
@@ -32,6 +32,8 @@ ship(__name__)
 GENERATOR = 0b110001110101
 #: Lowest bit and width of each segment of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Of 128 bits, how many may differ between fingerprints of texts to be compared: at a similarity of 0.8 by 5-word shingles about 19 do, with a deviation of 4; between others 64.
+RADIUS = 30
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -72,11 +74,7 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     starts = [0, *ends]
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(joined[a : b - 1], 42) for a, b in zip(starts, ends[size - 1 :], strict=False)), dtype="<u8", count=len(words) - size + 1)
-    set_bits = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        part = np.unpackbits(hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += part.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def _utf8(column: pa.Array) -> Iterator[bytes]:
@@ -173,12 +171,75 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, F.col("fp") == F.col("f")).select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, print, more): for each two segments of print, each pair of their Golay keys."""
+    for b in batches:
+        for start in range(0, b.num_rows, 2048):
+            part = b.slice(start, 2048)
+            fp, more = (np.asarray(part.column(i)).astype(np.int64) for i in (0, 1))
+            index = [-np.sort(-golay_keys((fp.view(np.uint64) >> np.uint64(low)) & np.uint64((1 << width) - 1), width), axis=1) for low, width in SEGMENTS]
+            index = [x[:, : (x >= 0).sum(axis=1).max()] for x in index]  # a word has a few keys; they come first now
+            for i, j in combinations(range(3), 2):
+                at, x, y = np.nonzero((index[i] >= 0)[:, :, None] & (index[j] >= 0)[:, None, :])
+                key = (np.int64(i + j) << np.int64(24)) | (index[i][at, x] << np.int64(12)) | index[j][at, y]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[at]), pa.array(more[at])], names=["key", "print", "more"])
+
+
+def _nearest(radius: int):
+    """(u, v, bits): for each fingerprint of a group the nearest one before it, if the two differ in `radius` bits of 128 or fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0)
+            rows, lengths = lists.flatten(), np.asarray(lists.value_lengths()).astype(np.int64)
+            u, w = (np.asarray(c).astype(np.int64).view(np.uint64) for c in (rows.field(0), rows.field(1)))
+            place = np.arange(len(u)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            best, of = np.full(len(u), 129), np.zeros(len(u), dtype=np.int64)
+            at = np.flatnonzero(place >= 1)
+            for k in range(1, int(lengths.max(initial=0))):
+                at = at[place[at] >= k]
+                bits = np.bitwise_count(u[at] ^ u[at - k]).astype(np.int64) + np.bitwise_count(w[at] ^ w[at - k])
+                less = bits < best[at]
+                best[at[less]], of[at[less]] = bits[less], at[less] - k
+            near = np.flatnonzero(best <= radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u[near].view(np.int64)), pa.array(u[of[near]].view(np.int64)), pa.array(best[near])], names=["u", "v", "bits"])
+
+    return run
+
+
+def near_pairs(sets: DataFrame, radius: int = RADIUS, most: int = 256) -> DataFrame:
+    """(u, v): for each of the different sets (fp, print, more) its nearest by fingerprint among those that it meets, if there is one.
+
+    print and more are 64-bit fingerprints by two hashes. Fingerprints meet if two of the three segments of print share a Golay
+    key; two sets go on as a pair if they differ in `radius` bits of the 128 or fewer. Of a group with more than `most`
+    fingerprints each is compared with one of them only. These are links to be verified and no whole search.
+    """
+    prints = sets.groupBy("print").agg(F.min(F.struct("fp", "more")).alias("least")).select("print", F.col("least.fp").alias("least"), F.col("least.more").alias("more"))
+    prints = materialise(prints, "prints")
+    keyed = prints.select("print", "more").repartition(1 + prints.count() // 8192, "print").mapInArrow(_pair_keys, "key long, print long, more long")
+    # Counted with partial sums and joined back: a join can be split at a hot key.
+    counts = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("print", "more")).alias("hub")).where("m > 1")
+    met = keyed.join(counts.hint("merge"), F.col("key") == F.col("k"))
+    group = F.sort_array(F.collect_list(F.struct("print", "more"))).alias("group")
+    usual = met.where(F.col("m") <= most).groupBy("key").agg(group).select("group").mapInArrow(_nearest(radius), "u long, v long, bits long")
+    bits = F.bit_count(F.col("print").bitwiseXOR(F.col("hub.print"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("hub.more")))
+    crowd = met.where((F.col("m") > most) & (F.col("print") != F.col("hub.print")) & (bits <= radius))
+    near = usual.union(crowd.select(F.col("print").alias("u"), F.col("hub.print").alias("v"), bits.cast("long").alias("bits")))
+    near = near.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("to")).select("u", F.col("to.v").alias("v"))
+    one, two = (prints.select(F.col("print").alias(p), F.col("least").alias(f)) for p, f in (("u", "f"), ("v", "t")))
+    apart = near.join(one, "u").join(two, "v").select(F.least("f", "t").alias("u"), F.greatest("f", "t").alias("v"))
+    # Different sets of one fingerprint are tried with the least of them.
+    same = sets.join(prints.select("print", "least"), "print").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    return apart.union(same)
+
+
 def keep_one(docs: DataFrame, size: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows of docs (doc_id, text), one of each group: that of the smallest id. Of rows with one id one stays. Rows with a null id cannot be told apart: they stay if any of them is in a group without an id.
 
-    Groups are those of similar_groups(): fingerprints lose similar texts at any distance that keys can bridge.
+    Groups are those of similar_groups(): near_pairs() finds the links through SimHash fingerprints and Golay keys, each is
+    verified on the whole shingle sets, and an exact search adds the links between groups that fingerprints have missed.
     """
-    groups = materialise(similar_groups(docs, size), "groups")
+    groups = materialise(similar_groups(docs, size, meetings=near_pairs), "groups")
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = materialise(kept, "kept")
     n, repeats = kept.agg(F.count(F.lit(1)), F.max(F.when(F.col("doc_id").isNotNull(), F.col("n")))).first()

@@ -1,5 +1,6 @@
 import random
 
+from tagloom.llm import shingle_sets, simhash_golay
 from tagloom.llm.shingle_sets import similar_groups
 from tagloom.llm.simhash_golay import fingerprint, keep_one
 
@@ -56,3 +57,28 @@ def test_keep_one_drops_edited_copies(spark):
     assert (prints[0] ^ prints[1]).bit_count() > 2
     df = spark.createDataFrame([(1, " ".join(base)), (2, near), (3, far)], "doc_id long, text string")
     assert sorted(x.doc_id for x in keep_one(df).collect()) == [1, 3]
+
+
+def test_links_go_through_fingerprints_and_whole_sets_are_not_written(spark, monkeypatch):
+    r = random.Random(5)
+    bases = [[f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(80)]
+    texts = [" ".join(b) for b in bases] + [edited(r, b, 2) for b in bases[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, tried, real = [], [], (shingle_sets.materialise, simhash_golay.near_pairs)
+
+    def written(table, name):
+        out = real[0](table, name)
+        whole.extend(x for column, kind in out.dtypes if kind == "array<bigint>" for x in out.selectExpr(f"size({column}) AS n").collect() if x.n > 100)
+        return out
+
+    def meetings(sets):
+        for most in (256, 1):  # 1: crowded groups
+            pairs = {(x.u, x.v) for x in real[1](sets, most=most).collect()}
+            tried.append(len(pairs))
+        return real[1](sets)
+
+    monkeypatch.setattr(shingle_sets, "materialise", written)
+    monkeypatch.setattr(simhash_golay, "near_pairs", meetings)
+    assert sorted(x.doc_id for x in keep_one(df).collect()) == list(range(80))
+    # Of 40 similar pairs fingerprints find most, and nothing else; only sets that are compared are written whole.
+    assert len(tried) == 2 and all(30 <= n <= 40 for n in tried) and len(whole) <= 80
