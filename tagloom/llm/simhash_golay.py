@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import BROADCAST, materialise, ship, within
 from .components import connected_components
 from .shingle_sets import majority, similar_groups
 
@@ -217,14 +217,19 @@ def near_pairs(sets: DataFrame, radius: int = RADIUS, most: int = 256) -> DataFr
     prints = sets.groupBy("print").agg(F.min(F.struct("fp", "more")).alias("least")).select("print", F.col("least.fp").alias("least"), F.col("least.more").alias("more"))
     prints = materialise(prints, "prints")
     keyed = prints.select("print", "more").repartition(1 + prints.count() // 8192, "print").mapInArrow(_pair_keys, "key long, print long, more long")
-    # Counted with partial sums and joined back: a join can be split at a hot key.
-    counts = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("print", "more")).alias("hub")).where("m > 1")
-    met = keyed.join(counts.hint("merge"), F.col("key") == F.col("k"))
+    # Counted with partial sums and joined back: a join can be split at a hot key. The usual groups are collected where they are joined.
+    counts = materialise(keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "print-keys")
+    met = keyed.join(counts.where(F.col("m") <= most).select("k").hint("merge"), F.col("key") == F.col("k"))
     group = F.sort_array(F.collect_list(F.struct("print", "more"))).alias("group")
-    usual = met.where(F.col("m") <= most).groupBy("key").agg(group).select("group").mapInArrow(_nearest(radius), "u long, v long, bits long")
-    bits = F.bit_count(F.col("print").bitwiseXOR(F.col("hub.print"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("hub.more")))
-    crowd = met.where((F.col("m") > most) & (F.col("print") != F.col("hub.print")) & (bits <= radius))
-    near = usual.union(crowd.select(F.col("print").alias("u"), F.col("hub.print").alias("v"), bits.cast("long").alias("bits")))
+    near = met.groupBy("key").agg(group).select("group").mapInArrow(_nearest(radius), "u long, v long, bits long")
+    crowded = counts.where(F.col("m") > most).select("k")
+    if not crowded.isEmpty():
+        crowd = keyed.join(within(materialise(crowded, "print-crowded"), BROADCAST), F.col("key") == F.col("k")).drop("k")
+        hub = crowd.groupBy("key").agg(F.min("print").alias("hub"))
+        hub = hub.join(prints.select(F.col("print").alias("hub"), F.col("more").alias("hub_more")), "hub").select(F.col("key").alias("k"), "hub", "hub_more")
+        bits = F.bit_count(F.col("print").bitwiseXOR(F.col("hub"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("hub_more")))
+        to_hub = crowd.join(hub, F.col("key") == F.col("k")).where((F.col("print") != F.col("hub")) & (bits <= radius))
+        near = near.union(to_hub.select(F.col("print").alias("u"), F.col("hub").alias("v"), bits.cast("long").alias("bits")))
     near = near.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("to")).select("u", F.col("to.v").alias("v"))
     one, two = (prints.select(F.col("print").alias(p), F.col("least").alias(f)) for p, f in (("u", "f"), ("v", "t")))
     apart = near.join(one, "u").join(two, "v").select(F.least("f", "t").alias("u"), F.greatest("f", "t").alias("v"))
