@@ -5,8 +5,10 @@ the sets' fingerprints; those that are similar join their sets, and the search b
 still apart. All sets are ordered alike: shingles that a sample of texts shows to be common come last, the others by their
 hash. Of two sets with n and m members that are as similar as asked, the first few members in that order (the prefix,
 n - ceil(n * similarity) + 1 of them) meet in at least one, so joining prefixes finds every pair (the sample only sets the
-order, and any order is right). A shingle whose sets are all in one component goes. Pairs that their lengths or the number
-of meetings rule out go first; the similarity of the others is counted on the whole sets.
+order, and any order is right). A shingle whose sets are all in one component goes. The shingles where a set meets others
+are then ordered by how many sets meet there, the rarest first. Similar sets share a number of them that follows from
+their lengths, so the first one that they share has that many left in both, itself included: sets meet only where enough
+are left. The similarity of those pairs is counted on the whole sets.
 
 A shingle in the prefixes of more than `most` sets is not joined with itself at once: its sets are first compared with a
 few chosen ones, and then only sets that are still in different components meet, so a large group of near copies costs
@@ -34,8 +36,8 @@ ship(__name__)
 
 #: Two texts are near-duplicates if they share at least SHARED / OF of their different shingles.
 SHARED, OF = 4, 5
-#: The sample that sets the order has about so many sets; a shingle in COMMON of them or more is common.
-SAMPLE, COMMON = 20_000, 8
+#: The sample that sets the order has about so many sets; a shingle in COMMON of them or more is common, MOST of these at most.
+SAMPLE, COMMON, MOST = 20_000, 2, 1 << 20
 
 
 def shingles(text: bytes, size: int = 5) -> np.ndarray:
@@ -77,7 +79,7 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that are common in a sample of the texts, and in how many texts of it they are."""
+    """Upper halves, sorted, of shingles that are common in a sample of the texts, and in how many texts of it they are (255 at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,9 +88,12 @@ def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["key"])
 
     every = max(1, docs.count() // SAMPLE)
-    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
-    rows = counted.orderBy("key").toArrow()
-    return rows["key"].to_numpy().astype(np.int64), rows["count"].to_numpy().astype(np.int64)
+    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, "key long").groupBy(F.shiftright("key", 32).cast("int").alias("key")).count().where(F.col("count") >= COMMON)
+    # Six bytes a shingle reach the driver and the workers. Shingles of one half count together, which is an order too.
+    rows = counted.orderBy(F.desc("count"), "key").limit(MOST).select("key", F.least("count", F.lit(255)).cast("short").alias("count")).toArrow()
+    keys, counts = rows["key"].to_numpy(), rows["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order].astype(np.uint8)
 
 
 def _row(docs: DataFrame) -> DataFrame:
@@ -104,8 +109,9 @@ def shingle_sets(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], size: i
         n = len(s)
         p = n - (SHARED * n + OF - 1) // OF + 1
         if n and len(keys):
-            at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-            s = s[np.argsort(np.where(keys[at] == s, counts[at], 0), kind="stable")]
+            half = (s >> np.int64(32)).astype(np.int32)
+            at = np.minimum(np.searchsorted(keys, half), len(keys) - 1)
+            s = s[np.argsort(np.where(keys[at] == half, counts[at], 0), kind="stable")]
         return s[:p]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +156,13 @@ def _similar(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int) -> D
 
 
 def _meeting(left: DataFrame) -> DataFrame:
-    """Pairs u < v of sets in left (key, fp, n, h, root) that meet at a key and have different roots."""
-    cols = ["fp", "n", "h", "root"]
+    """(u, v), u < v, for sets of different roots in left (key, fp, n, rest, root) and each key where they meet with enough keys left of either."""
+    cols = ["fp", "n", "rest", "root"]
     a = left.select("key", *(F.col(c).alias(f"{c}_a") for c in cols))
     b = left.select(F.col("key").alias("key_b"), *(F.col(c).alias(f"{c}_b") for c in cols))
-    length = F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * SHARED
-    return a.join(b, (F.col("key") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b")) & length & (F.col("root_a") != F.col("root_b")))
+    possible = _possible(F.col("n_a"), F.col("n_b"), F.least("rest_a", "rest_b"))
+    met = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("fp_a") < F.col("fp_b")) & possible & (F.col("root_a") != F.col("root_b")))
+    return met.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))
 
 
 def _rest(marked: DataFrame, links: DataFrame | None, verify: Callable[[DataFrame], DataFrame], most: int, hubs: int = 8) -> DataFrame:
@@ -167,29 +174,28 @@ def _rest(marked: DataFrame, links: DataFrame | None, verify: Callable[[DataFram
     prefixes = sets.select("fp", "n", "root", F.explode("prefix").alias("key"))
     # Counted with partial sums and joined back: a join can be split at a hot key, which a window would put into one task.
     counts = prefixes.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("k", "m")
-    # Rows of equal sets become one here.
-    met = materialise(prefixes.join(counts.hint("merge"), F.col("key") == F.col("k")).drop("k").distinct(), "set-meetings")
+    # Rows of equal sets become one here. rest counts a set's keys from this one on, the rarest first.
+    met = prefixes.join(counts.hint("merge"), F.col("key") == F.col("k")).drop("k").distinct()
+    met = materialise(met.withColumn("rest", F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("m"), F.desc("key")))), "set-meetings")
+    pairs = _meeting(met.where(F.col("m") <= most)).distinct()
     crowd = met.where(F.col("m") > most)
-    crowded = materialise(crowd.groupBy("fp").agg(F.count(F.lit(1)).alias("h")), "set-crowded")
-    usual = met.where(F.col("m") <= most).join(crowded, "fp", "left").select("key", "fp", "n", "root", F.coalesce("h", F.lit(0)).alias("h"))
-    pairs = _meeting(usual).groupBy(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"), "n_a", "n_b", "h_a", "h_b").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.where(_possible(F.col("n_a"), F.col("n_b"), F.col("c") + F.least("h_a", "h_b"))).select("u", "v")
-    if crowded.isEmpty():
+    if crowd.isEmpty():
         return verify(pairs)
-    crowd = materialise(crowd.join(crowded, "fp").select("key", "fp", "n", "h", "root"), "set-crowds")
+    # The crowded keys are a set's last ones: h of them.
+    crowded = crowd.groupBy("fp").agg(F.count(F.lit(1)).alias("h"))
+    crowd = materialise(crowd.join(crowded, "fp").select("key", "fp", "n", "h", "rest", "root"), "set-crowds")
     hub = crowd.groupBy("key").agg(F.min_by(F.struct("fp", "n", "h", "root"), F.xxhash64("fp", "key")).alias("hub"))
     few = crowd.withColumn("r", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("key")))).where(F.col("r") <= hubs)
     tried = few.join(hub, "key").where((F.col("root") != F.col("hub.root")) & _possible(F.col("n"), F.col("hub.n"), F.least("h", "hub.h")))
     tried = tried.select(F.least("fp", "hub.fp").alias("u"), F.greatest("fp", "hub.fp").alias("v"))
-    found = verify(pairs.union(tried).distinct())
+    tried = materialise(pairs.union(tried).distinct(), "set-tried")
+    found = verify(tried)
     # What still lies in different components after that is compared in full.
     comp = connected_components(found if links is None else found.union(links))
-    rooted = crowd.drop("root").join(comp, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "h", F.coalesce("root", "fp").alias("root"))
+    rooted = crowd.drop("root", "h").join(comp, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "rest", F.coalesce("root", "fp").alias("root"))
     split = rooted.groupBy("key").agg((F.min("root") != F.max("root")).alias("split")).where("split").select("key")
     left = materialise(rooted.join(split, "key", "left_semi"), "set-left")
-    rest = _meeting(left).where(_possible(F.col("n_a"), F.col("n_b"), F.least("h_a", "h_b"))).groupBy(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"), "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    # Pairs that meet at a usual key too were counted above.
-    return found.union(verify(rest.where(_possible(F.col("n_a"), F.col("n_b"), F.col("c"))).select("u", "v")))
+    return found.union(verify(_meeting(left).distinct().join(tried, ["u", "v"], "left_anti")))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, most: int = 32, meetings: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -5,17 +5,20 @@ target marginals of every dimension; then one factor makes the expected number o
 each document is kept with its cell's probability by a uniform number that depends on its id alone.
 
 Only the table of cells takes part in the rounds. Marginals are summed with partial sums first, so a source with a third
-of all documents is a row like any other; two numbers a round reach the driver.
+of all documents is a row like any other; two numbers a round reach the driver. A table of cells of up to SMALL bytes is
+one partition, where sums need no exchange: each exchange costs the driver a thread, which it keeps for a minute.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fits, materialise
 
 DIMENSIONS = ("source", "lang", "topic")
+#: Bytes up to which a table of cells is one partition.
+SMALL = 4 << 20
 
 
 def token_count(text: Column) -> Column:
@@ -57,20 +60,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 50, tole
         goal = target.select(F.col(dim).alias("key"), F.col("target").alias(f"goal_{dim}"))
         now = now.join(goal, F.col(dim) == F.col("key"), "left").drop("key").fillna(0.0, [f"goal_{dim}"])
     now = materialise(now.withColumn("off", F.lit(0.0)), "cells")
+    small = fits(now, SMALL)
+    together = lambda df: df.coalesce(1) if small else df
+    now = together(now)
     for _ in range(rounds):
         step = now
         for k, dim in enumerate(targets):
-            sums = step.groupBy(F.col(dim).alias("key")).agg(F.sum("w").alias("is"))
-            step = step.join(sums, F.col(dim) == F.col("key")).drop("key")
+            if small:
+                step = step.where(F.col(dim).isNotNull()).withColumn("is", F.sum("w").over(Window.partitionBy(dim)))
+            else:
+                sums = step.groupBy(F.col(dim).alias("key")).agg(F.sum("w").alias("is"))
+                step = step.join(sums, F.col(dim) == F.col("key")).drop("key")
             step = step.withColumn("f", F.when(F.col("is") > 0, F.col(f"goal_{dim}") / F.col("is")).otherwise(0.0))
             off = F.when(F.col("w") > 0, F.abs(F.col("f") - 1)).otherwise(0.0)
             step = step.withColumns({"off": off if k == 0 else F.greatest("off", off), "w": F.col("w") * F.col("f")}).drop("is", "f")
-        now = materialise(step, "cells")  # a table a round: plans stay small
+        now = together(materialise(step, "cells"))  # a table a round: plans stay small
         if (now.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     now = now.drop("off", *(f"goal_{dim}" for dim in targets))
     scale = F.broadcast(now.agg(F.sum("w").alias("sum")))
-    return materialise(now.join(scale).withColumn("w", F.when(F.col("sum") > 0, F.col("w") / F.col("sum")).otherwise(0.0)).drop("sum"), "cells")
+    return together(materialise(now.join(scale).withColumn("w", F.when(F.col("sum") > 0, F.col("w") / F.col("sum")).otherwise(0.0)).drop("sum"), "cells"))
 
 
 def calibrate(cells: DataFrame, share: float, rounds: int = 60) -> DataFrame:
@@ -107,6 +116,7 @@ def mix(docs: DataFrame, share: float = 0.5, power: float = 0.5, targets: dict[s
     key = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMENSIONS}
     cells = (docs if counted is None else counted).groupBy(*(e.alias(d) for d, e in key.items())).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
     cells = materialise(cells, "cells")
+    cells = cells.coalesce(1) if fits(cells, SMALL) else cells
     made = {d: materialise((targets or {}).get(d) or tempered_targets(cells, d, power), "target") for d in DIMENSIONS}
     every = F.broadcast(cells.agg(F.sum("tokens").alias("all")))
     done = calibrate(rake(cells, made), share).join(every)

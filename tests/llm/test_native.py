@@ -210,6 +210,25 @@ def test_mixing_equals_brute_force(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_raking_of_few_cells_needs_no_exchange(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, r.choice(["big"] * 6 + ["a", "b", None]), r.choice(["en", "en", "de"]), r.choice(["prose", "table"]), r.choice([0, 5, 40, 300])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long")
+    plans, real = [], mixing.materialise
+
+    def written(table, name):
+        plans.append(str(table._jdf.queryExecution().executedPlan().toString()))
+        return real(table, name)
+
+    monkeypatch.setattr(mixing, "materialise", written)
+    few = {x.doc_id: x for x in mixing.mix(df).collect()}
+    rounds = [p for p in plans if "off" in p and "goal_topic" in p]
+    assert len(rounds) > 3 and not any("Exchange" in p for p in rounds[1:])
+    monkeypatch.setattr(mixing, "SMALL", 0, raising=False)  # the way of large tables
+    many = {x.doc_id: x for x in mixing.mix(df).collect()}
+    assert all(few[i].weight == pytest.approx(x.weight, rel=1e-9) and few[i].probability == pytest.approx(x.probability, rel=1e-9) for i, x in many.items())
+
+
 def test_descriptions(spark):
     texts = [None, "", "a b\tc\n", "a | b | c", "1234 5 6", "wow!!! #$%", "plain words"]
     got = [(r.topic, r.n_tokens) for r in mixing.described(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]

@@ -82,3 +82,16 @@ def test_links_go_through_fingerprints_and_whole_sets_are_not_written(spark, mon
     assert sorted(x.doc_id for x in keep_one(df).collect()) == list(range(80))
     # Of 40 similar pairs fingerprints find most, and nothing else; only sets that are compared are written whole.
     assert len(tried) == 2 and all(30 <= n <= 40 for n in tried) and len(whole) <= 80
+
+
+def test_a_family_of_unlike_texts_meets_rarely(spark, monkeypatch):
+    # Each shares about two thirds with any other, so all have common shingles in their prefixes, but few are near-duplicates.
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [edited(r, base, 3) for _ in range(60)]
+    rows, real = [], shingle_sets._meeting
+    monkeypatch.setattr(shingle_sets, "_meeting", lambda left: rows.append(real(left).count()) or real(left))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in similar_groups(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
+    assert sum(rows) < 60 * 59 / 2, rows
