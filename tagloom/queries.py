@@ -505,13 +505,10 @@ def v_listed(f, spark, sf_dir):
 @query("part", "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,p_name,p_brand FROM part")
 def csv_round_trip(f, spark, _):
     """Written as CSV by the executors and read back as a folder of tables."""
-    import tempfile
-    import uuid
-
     from .sources.readers import read_csv
     from .sources.sinks import write_csv
 
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/tagloom-csv-{uuid.uuid4().hex}"
+    path = _new_path(spark, "csv")
     write_csv(f.with_columns("#item+id,#item+name,#item+brand"), path)
     return read_csv(spark, path).to_df()
 
@@ -558,7 +555,10 @@ def recipe_reshape(f, *_):
 
 
 def _streamed(spark: SparkSession, sf_dir: str, table: str, work, mode: str = "append") -> DataFrame:
-    """What work(frame) gives for a stream of a sample table's files, when all of them have been read."""
+    """What work(frame) gives for a stream of a sample table's files, when all of them have been read.
+
+    In append mode the executors write its rows as Parquet; only the groups of complete mode are held by the driver.
+    """
     import uuid
 
     from .streaming import stream_frame
@@ -566,12 +566,25 @@ def _streamed(spark: SparkSession, sf_dir: str, table: str, work, mode: str = "a
     static = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     source = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{table}*.parquet" if not _is_folder(spark, f"{sf_dir}/{table}.parquet") else "*.parquet")
     df = source.parquet(f"{sf_dir}/{table}.parquet" if _is_folder(spark, f"{sf_dir}/{table}.parquet") else sf_dir)
+    out = work(stream_frame(df, TAGS[table]))
+    writer = out.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        path = _new_path(spark, "stream")
+        writer.format("parquet").option("checkpointLocation", f"{path}-log").start(path).awaitTermination()
+        return spark.read.schema(out.schema).parquet(path)
     name = f"s{uuid.uuid4().hex}"
-    run = work(stream_frame(df, TAGS[table])).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination()
+    writer.format("memory").queryName(name).start().awaitTermination()
     return spark.table(name)
 
 
+def _new_path(spark: SparkSession, kind: str) -> str:
+    """A path not used before in the folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/tagloom-{kind}-{uuid.uuid4().hex}"
+
+
 def _is_folder(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
@@ -597,7 +610,7 @@ def stream_dedup(_, spark, sf_dir):
 
 @query("events", "SELECT event_id,CASE WHEN event_type='purchase' THEN 'bought' ELSE '' END AS kind FROM events UNION ALL SELECT event_id,'again' FROM events")
 def stream_merge_append(_, spark, sf_dir):
-    kinds = TagFrame.from_rows(spark, [["#event+type", "#event+kind"], ["purchase", "bought"]])
+    kinds = TagFrame.from_rows(spark, [["#event+type", "#event+kind"], ["purchase", "bought"]]).transform(F.broadcast)  # one row
 
     def work(f):
         slim = f.with_columns("#meta+id,#event")

@@ -1,9 +1,13 @@
 """Frames over streams, run to the end of a folder."""
 
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from tagloom import TagFrame, streaming
+from tagloom.queries import ORACLES, QUERIES
 
 
 @pytest.fixture
@@ -50,3 +54,46 @@ def test_fill_down(stream):
 def test_static_frames_are_refused(spark):
     with pytest.raises(ValueError):
         streaming.stream_frame(spark.range(1), {"id": "#x"})
+
+
+@pytest.fixture
+def events(spark, tmp_path, monkeypatch):
+    """Folder of a small table of events in two files; files of the queries go there too, if no folder is shared."""
+    kinds = ["purchase", "view", "", "signup"]
+    rows = [(None if i == 9 else i, kinds[i % 4], float(i * 10)) for i in range(20)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, value double")
+    df = df.selectExpr("event_id", "timestamp_seconds(value) AS ts", "1L AS user_id", "event_type", "value", "'{}' AS props")
+    df.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    df.createOrReplaceTempView("events")
+    monkeypatch.setattr(tempfile, "tempdir", str(tmp_path))
+    yield str(tmp_path)
+    spark.catalog.dropTempView("events")
+
+
+@pytest.mark.parametrize("name", ["stream_rows_columns_cells", "stream_dedup", "stream_merge_append"])
+def test_rows_of_a_stream_stay_with_the_executors(spark, events, name):
+    """Rows of append mode are files of the executors, read again at will, and no table of the driver."""
+    got = QUERIES[name](spark, events)
+    want = sorted(map(repr, spark.sql(ORACLES[name]).collect()))
+    assert [sorted(map(repr, got.collect())) for _ in range(2)] == [want, want]
+    assert got.inputFiles() and all("/tagloom-stream-" in f for f in got.inputFiles())
+
+
+def test_groups_of_a_stream(spark, events):
+    assert sorted(map(repr, QUERIES["stream_count"](spark, events).collect())) == sorted(map(repr, spark.sql(ORACLES["stream_count"]).collect()))
+
+
+def test_merge_does_not_shuffle_a_stream(spark, events, monkeypatch):
+    """The one row to merge goes to the stream's rows; only its own aggregate is dealt out by key."""
+    plans, start = [], DataStreamWriter.start
+
+    def ended(self, *args):
+        run = start(self, *args)
+        run.awaitTermination(120)
+        plans.append(run._jsq.explainInternal(False).split("Initial Plan")[-1])
+        return run
+
+    monkeypatch.setattr(DataStreamWriter, "start", ended)
+    QUERIES["stream_merge_append"](spark, events)
+    (plan,) = plans
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
